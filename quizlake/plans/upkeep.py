@@ -4,8 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quizlake.operators import orphans
-from quizlake.session import table
+from quizlake.operators import drift, orphans
+from quizlake.session import stage, table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of a feed's fields: (archivo_id, campo, cambio)."""
+    return drift.changes(stage(drift.profile(table(spark, sf_dir, "registros_crudos")), "profile"))
+
+
+def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All valid records in one table with one name per column."""
+    raw = table(spark, sf_dir, "registros_crudos")
+    return drift.unify(raw, drift.columns(stage(drift.profile(raw), "profile")))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +29,7 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.orphan_report(p4_found(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p1_unified": p1_unified, "p4_found": p4_found, "p4_report": p4_report}
 
 _P4 = """
 select distinct 'respuestas' as tabla, 'question_id' as campo, r.respuesta_id as clave, substr(cast(r.respondida_at as varchar), 1, 7) as periodo
