@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizlake.llm import canonical, lookalike, mojibake, quota, sentences, tokens
+from quizlake.llm import canonical, leaks, lookalike, mojibake, neardup, quota, sentences, tokens
 from quizlake.llm.fields import question_fields
 from quizlake.session import table
 
@@ -47,6 +47,22 @@ def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("num", "campo", "texto", F.array_join("clases", ",").alias("clases"), "forma")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.revised_questions(table(spark, sf_dir, "preguntas"))
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.question_groups(table(spark, sf_dir, "preguntas"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -64,7 +80,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_sample, p6_found, p6_consistent, p8_ids, p8_totals, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
 
 _CANON = r"""
 select num, regexp_replace(replace(lower(upper(coalesce(enunciado, ''))), 'ς', 'σ'), '[^\p{L}\p{N}]+', '', 'g') as e,
