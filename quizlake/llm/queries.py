@@ -89,6 +89,17 @@ select num, regexp_replace(replace(lower(upper(coalesce(enunciado, ''))), 'ς',
 from preguntas
 """
 
+_P7 = rf"""
+with base as materialized (select num, list_distinct(regexp_extract_all(lower(concat_ws(' ', enunciado, array_to_string(map_values(opciones), ' '))), '[\p{{L}}\p{{N}}]+')) as ws from preguntas),
+canon as materialized ({_CANON}),
+w as materialized (select num, unnest(ws) as word from base),
+pairs as (select a.num as num_a, b.num as num_b, count(*) as comunes from w a join w b on a.word = b.word and a.num < b.num group by all)
+select p.num_a, p.num_b from pairs p join base a on a.num = p.num_a join base b on b.num = p.num_b
+join canon x on x.num = p.num_a join canon y on y.num = p.num_b
+where 10 * comunes >= 7 * (len(a.ws) + len(b.ws) - comunes) and (x.e <> y.e or x.o <> y.o)
+"""
+_RUNS = lambda t, key: f"select {key}, ws[i:i + 11] as run from (select {key}, ws, unnest(generate_series(1, len(ws) - 11)) as i from (select {key}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') as ws from {t} where text is not null))"
+
 _NEED = """
 with nombres as (select lower(trim(nombre)) as n, min(categoria) as c from cuotas group by 1),
 filas as (
@@ -105,6 +116,8 @@ informe as (
 SQL = {
     "p2_found": f"with c as ({_CANON}), w as (select num, min(num) over (partition by e, o) as primero from c) select primero as num_a, num as num_b from w where num <> primero",
     "p2_copies": f"with c as ({_CANON}) select min(num) as num, count(*) as copias from c group by e, o",
+    "p7_found": _P7,
+    "p9_found": f"select distinct d.doc_id, e.item_id from ({_RUNS('documents', 'doc_id')}) d join ({_RUNS('eval_items', 'item_id')}) e on d.run = e.run",
     "p5_found": _NEED + "select plan_id, categoria from informe where disponibles < necesarias",
     "p5_report": _NEED + "select plan_id, categoria, necesarias, disponibles, least(disponibles, necesarias) as tomadas, greatest(necesarias - disponibles, 0) as faltan from informe",
 }
