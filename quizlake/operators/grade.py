@@ -32,7 +32,8 @@ def graded(respuestas: DataFrame, preguntas: DataFrame, entregas: DataFrame) ->
     """
     questions = preguntas.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("categoria", "respuesta_correcta", "opciones", "enunciado"), "num").alias("_q")).select(F.col("id").alias("question_id"), "_q.*")
     exams = entregas.where(F.col("exam_id").isNotNull()).groupBy("exam_id").agg(F.min("tipo_examen").alias("tipo_examen"))
-    rows = split_join(split_join(last_answers(respuestas), exams, "exam_id", "inner"), questions, "question_id", "inner")
+    rows = split_join(last_answers(respuestas), exams, "exam_id", "inner", counted=respuestas.select("exam_id"))
+    rows = split_join(rows, questions, "question_id", "inner", counted=respuestas.select("question_id"))
     return rows.withColumn("es_correcta", A.right(F.col("letra"), F.col("respuesta_correcta")))
 
 

@@ -1,43 +1,46 @@
-"""Joins of a large table on a key that may be hot, against a table of keys."""
+"""Joins of a large table on a key that may be hot."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A key is hot if it has more than one row in so many. So there are at most as many hot keys.
 HOT_SHARE = 400
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys with more than 1/``share`` of all rows: at most ``share`` rows, whatever the input.
+def hot_keys(keys: DataFrame, key: str, share: int = HOT_SHARE) -> dict:
+    """Hot key -> number of parts its rows are to be split into: at most ``share`` keys, whatever the input.
 
-    The counts are combined before the shuffle; the total comes from the counts, so the rows are read once.
-    Null keys are never hot (they match nothing in a join).
+    The counts are combined before the shuffle. Null keys are never hot (they match nothing in a join).
     """
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    limit = (total.first() or [0])[0] or 0
-    return counts.where(F.col("_n") > F.lit(limit / share)).select(key)
+    counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    top = counts.orderBy(F.desc("_n")).limit(share).collect()  # a key beyond these cannot be hot
+    part = max(1, keys.count() // share)
+    return {bytes(r[0]) if isinstance(r[0], bytearray) else r[0]: -(-r["_n"] // part) for r in top if r["_n"] > part}
 
 
 def split_join(rows: DataFrame, side: DataFrame, key: str, how: str, on: Column | None = None, share: int = HOT_SHARE, counted: DataFrame | None = None) -> DataFrame:
     """``rows`` joined to ``side`` by equality of ``key`` (a column of both, kept once), for any skew of ``rows``.
 
-    Rows of hot keys meet the few side rows of those keys by a broadcast (at most ``share`` keys, times the copies
-    which ``side`` has of one: callers pass a side whose keys are unique or nearly so); all others are shuffled.
-    ``how``: inner, left, left_semi or left_anti. ``on``: a further condition, over columns of both.
-    ``counted``: the keys' column to take the counts from, if cheaper than ``rows``.
-    Null keys never match; with left and left_anti they stay.
+    The rows of a hot key are split by a hash of their other columns, and its side rows are repeated for every part; no part
+    has more than 1/``share`` of all rows. The side grows by twice ``share`` times the copies of a hot key at most.
+    Nothing is broadcast by this. ``how``: inner, left, left_semi or left_anti. ``on``: a further condition, over columns of
+    both. ``counted``: a table to count the keys in, if cheaper than ``rows`` (it only sets the number of parts). Null keys never match; with left and
+    left_anti they stay.
     """
-    hot = [r[0] for r in hot_keys(counted if counted is not None else rows, key, share).collect()]
+    parts = hot_keys(counted if counted is not None else rows, key, share)
     right = side.withColumnRenamed(key, "_key")
-
-    def joined(left: DataFrame, other: DataFrame) -> DataFrame:
-        cond = F.col(key) == F.col("_key")
-        return left.join(other, cond if on is None else cond & on, how).drop("_key")
-
-    if not hot:
-        return joined(rows, right)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    return joined(rows.where(is_hot), F.broadcast(right.where(F.col("_key").isin(hot)))).unionByName(joined(rows.where(~is_hot), right.where(~F.col("_key").isin(hot))))
+    cond = F.col(key) == F.col("_key")
+    if on is not None:
+        cond = cond & on
+    if not parts:
+        return rows.join(right, cond, how).drop("_key")
+    kind = rows.schema[key].dataType
+    lit = (lambda v: F.lit(bytearray(v))) if isinstance(kind, T.BinaryType) else F.lit
+    of = F.create_map(*(x for v, n in parts.items() for x in (lit(v), F.lit(n))))
+    others = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name != key and not isinstance(f.dataType, T.MapType)]
+    split = rows.withColumn("_part", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.coalesce(F.try_element_at(of, F.col(key)), F.lit(1))).cast("int"))
+    repeated = right.withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(of, F.col("_key")), F.lit(1)) - 1)))
+    return split.join(repeated, cond & (F.col("_part") == F.col("_of")), how).drop("_key", "_part", "_of")
