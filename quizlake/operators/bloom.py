@@ -39,12 +39,12 @@ def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     bits = F.explode(F.array(*_bits(F.col(key)))).alias("_bit")
     words = (
         keys.where(F.col(key).isNotNull())
-        .select(_block(F.col(key), blocks).alias("_block"), bits)
-        .groupBy("_block", F.shiftright("_bit", 6).alias("_word"))
+        .select(_block(F.col(key), blocks).alias("__bloom_block"), bits)
+        .groupBy("__bloom_block", F.shiftright("_bit", 6).alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, _bit & 63)")).alias("_mask"))
     )
-    filled = words.groupBy("_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))  # 64 entries at most
-    return filled.select("_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0))).alias("_words"))
+    filled = words.groupBy("__bloom_block").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_m"))  # 64 entries at most
+    return filled.select("__bloom_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0))).alias("__bloom_words"))
 
 
 def probe(rows: DataFrame, key: str, filter_table: DataFrame, blocks: int, flag: str) -> DataFrame:
@@ -52,11 +52,11 @@ def probe(rows: DataFrame, key: str, filter_table: DataFrame, blocks: int, flag:
     hit = F.lit(True)
     for bit in _bits(F.col(key)):
         hit = hit & _test(bit)
-    at = rows.withColumn("_at", _block(F.col(key), blocks))
-    out = at.join(F.broadcast(filter_table), F.col("_at") == F.col("_block"), "left")
-    return out.withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("_at", "_block", "_words")
+    at = rows.withColumn("__bloom_at", _block(F.col(key), blocks))
+    out = at.join(F.broadcast(filter_table), F.col("__bloom_at") == F.col("__bloom_block"), "left")
+    return out.withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("__bloom_at", "__bloom_block", "__bloom_words")
 
 
 def _test(bit: Column) -> Column:
-    word = F.element_at("_words", F.shiftright(bit, 6) + 1)
+    word = F.element_at("__bloom_words", F.shiftright(bit, 6) + 1)
     return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1

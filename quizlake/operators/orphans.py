@@ -28,23 +28,23 @@ def orphan_references(refs: DataFrame, ref: str, parents: DataFrame, key: str, a
     Several rows of one key: one in force is enough. A null ``ref`` is an orphan. Rows repeat as often as in ``refs``.
     An empty ``parents`` makes every reference an orphan. Only the named columns of ``parents`` are read.
     """
-    kept = [F.col(key).alias("_parent")] + [F.col(c).alias(n) for c, n in ((since, "_since"), (until, "_until")) if c]
-    side = parents.select(*kept).where(F.col("_parent").isNotNull())
+    kept = [F.col(key).alias("__ref_parent")] + [F.col(c).alias(n) for c, n in ((since, "__ref_since"), (until, "__ref_until")) if c]
+    side = parents.select(*kept).where(F.col("__ref_parent").isNotNull())
     inside = None
     if at:
         inside = F.lit(True)
         if since:
-            inside = inside & (F.col("_since").isNull() | (F.col("_since") <= F.col(at)))
+            inside = inside & (F.col("__ref_since").isNull() | (F.col("__ref_since") <= F.col(at)))
         if until:
-            inside = inside & (F.col("_until").isNull() | (F.col("_until") > F.col(at)))
+            inside = inside & (F.col("__ref_until").isNull() | (F.col("__ref_until") > F.col(at)))
     n = side.count()
-    exact = side.withColumnRenamed("_parent", ref)
+    exact = side.withColumnRenamed("__ref_parent", ref)
     if not bloom.fits(n, bits_per_key, max_filter_bytes):
         return split_join(refs, exact, ref, "left_anti", inside)
     blocks = bloom.block_count(n, bits_per_key)
-    flagged = bloom.probe(refs, ref, bloom.build(side, "_parent", blocks), blocks, "_maybe")
-    missing = flagged.where(~F.col("_maybe")).drop("_maybe")
-    maybe = flagged.where("_maybe").drop("_maybe")
+    flagged = bloom.probe(refs, ref, bloom.build(side, "__ref_parent", blocks), blocks, "__ref_maybe")
+    missing = flagged.where(~F.col("__ref_maybe")).drop("__ref_maybe")
+    maybe = flagged.where(F.col("__ref_maybe")).drop("__ref_maybe")
     return missing.unionByName(split_join(maybe, exact, ref, "left_anti", inside, counted=refs.select(ref)))
 
 

@@ -18,9 +18,12 @@ def seeded_key(seed: str | int, id_col: Column) -> Column:
 
 
 def distinct_contents(questions: DataFrame, key: Column, by: list[str] | None = None, id_col: str = "num") -> DataFrame:
-    """(by..., content, id_col, _key): of every content the row with the least key; ``by`` sets the scope of being distinct."""
+    """(by..., content, id_col, _key): of every content the row with the least key; ``by`` sets the scope of being distinct.
+
+    Rows without an id cannot be drawn.
+    """
     by = by or []
-    rows = questions.select(*by, text.content_hash(F.col("enunciado"), F.col("opciones")).alias("contenido"), F.col(id_col), key.alias("_key"))
+    rows = questions.where(F.col(id_col).isNotNull()).select(*by, text.content_hash(F.col("enunciado"), F.col("opciones")).alias("contenido"), F.col(id_col), key.alias("_key"))
     return rows.groupBy(*by, "contenido").agg(F.min_by(id_col, F.struct("_key", id_col)).alias(id_col), F.min("_key").alias("_key"))
 
 
@@ -97,10 +100,12 @@ def new_exam_id(kind: str, seed: Column | None = None) -> Column:
 
 def repeats(questions: DataFrame, by: str, id_col: str = "num") -> DataFrame:
     """(by, repetidas): copies beyond the first (by id) of their content, counted per value, most first."""
-    rows = questions.select(by, id_col, text.content_hash(F.col("enunciado"), F.col("opciones")).alias("h"))
-    first = rows.groupBy("h").agg(F.min(id_col).alias(id_col))
-    extra = rows.join(first.select(id_col), id_col, "left_anti")
-    return extra.groupBy(by).agg(F.count(F.lit(1)).alias("repetidas")).orderBy(F.desc("repetidas"), F.col(by).asc_nulls_first())
+    rows = questions.select(F.col(by).alias("_by"), id_col, text.content_hash(F.col("enunciado"), F.col("opciones")).alias("h"))
+    firsts = rows.groupBy("h").agg(F.min_by("_by", id_col).alias("_by")).groupBy("_by").agg(F.count(F.lit(1)).alias("_f"))
+    total = rows.groupBy("_by").agg(F.count(F.lit(1)).alias("_n"))
+    both = total.alias("t").join(firsts.alias("f"), F.col("t._by").eqNullSafe(F.col("f._by")), "left")
+    extra = both.select(F.col("t._by").alias(by), (F.col("_n") - F.coalesce("_f", F.lit(0))).alias("repetidas")).where("repetidas > 0")
+    return extra.orderBy(F.desc("repetidas"), F.col(by).asc_nulls_first())
 
 
 def repeat_details(questions: DataFrame, most: int = 10) -> DataFrame:

@@ -31,16 +31,16 @@ def split_join(rows: DataFrame, side: DataFrame, key: str, how: str, on: Column
     left_anti they stay.
     """
     parts = hot_keys(counted if counted is not None else rows, key, share)
-    right = side.withColumnRenamed(key, "_key")
-    cond = F.col(key) == F.col("_key")
+    right = side.withColumnRenamed(key, "__split_key")
+    cond = F.col(key) == F.col("__split_key")
     if on is not None:
         cond = cond & on
     if not parts:
-        return rows.join(right, cond, how).drop("_key")
+        return rows.join(right, cond, how).drop("__split_key")
     kind = rows.schema[key].dataType
     lit = (lambda v: F.lit(bytearray(v))) if isinstance(kind, T.BinaryType) else F.lit
     of = F.create_map(*(x for v, n in parts.items() for x in (lit(v), F.lit(n))))
     others = [F.col(f"`{f.name}`") for f in rows.schema.fields if f.name != key and not isinstance(f.dataType, T.MapType)]
-    split = rows.withColumn("_part", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.coalesce(F.try_element_at(of, F.col(key)), F.lit(1))).cast("int"))
-    repeated = right.withColumn("_of", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(of, F.col("_key")), F.lit(1)) - 1)))
-    return split.join(repeated, cond & (F.col("_part") == F.col("_of")), how).drop("_key", "_part", "_of")
+    split = rows.withColumn("__split_part", F.pmod(F.xxhash64(*others) if others else F.lit(0), F.coalesce(F.try_element_at(of, F.col(key)), F.lit(1))).cast("int"))
+    repeated = right.withColumn("__split_of", F.explode(F.sequence(F.lit(0), F.coalesce(F.try_element_at(of, F.col("__split_key")), F.lit(1)) - 1)))
+    return split.join(repeated, cond & (F.col("__split_part") == F.col("__split_of")), how).drop("__split_key", "__split_part", "__split_of")

@@ -273,7 +273,8 @@ _LAST = """(select exam_id, question_id, l.letra as letra, l.segundos as segundo
 _GRADED = f"""(select *, {_RIGHT} as es_correcta from (
   select a.exam_id, a.question_id, a.letra, a.segundos, e.tipo_examen, q.categoria, q.respuesta_correcta, q.opciones
   from {_LAST} a join (select exam_id, min(tipo_examen) as tipo_examen from entregas group by exam_id) e on e.exam_id = a.exam_id
-  join preguntas q on q.id = a.question_id))"""
+  join (select id, q.categoria as categoria, q.respuesta_correcta as respuesta_correcta, q.opciones as opciones from (
+    select id, arg_min({{'categoria': categoria, 'respuesta_correcta': respuesta_correcta, 'opciones': opciones}}, num) as q from preguntas where id is not null group by id)) q on q.id = a.question_id))"""
 _KEYS = "list_sort(coalesce(map_keys(opciones), []))"
 _ISSUE_O = f"case when len({_KEYS}) = 0 then 'ninguna' when len({_KEYS}) < 4 then 'faltan' when len({_KEYS}) > 4 then 'sobran' when {_KEYS} <> ['a','b','c','d'] then 'distintas' end"
 _PARTS = f"case when contains(respuesta_correcta, ',') then list_transform(string_split(lower(respuesta_correcta), ','), lambda x: {_STRIP('x')}) else [lower(respuesta_correcta)] end"
@@ -290,7 +291,7 @@ _CHECKED = "(" + " union all ".join(f"select exam_id, {o} as orden, '{c}' as cat
 _UNIQUE = lambda by: f"(select {by} h, arg_min(num, {{'k': k, 'n': num}}) as num, min(k) as k from (select {by} num, {_HASH} as h, sha256('42|' || cast(num as varchar)) as k from src) group by {by} h)"
 _QUOTA_ROWS = lambda q: ", ".join(f"({c}, {n})" for c, n in q.items())
 _KEYS_SQL = "select exam_identifier from examenes union all select unnest([" + ", ".join(f"'{k}'" for k in BAD_KEYS) + "])"
-_PARSE = "string_split(exam_identifier, '_')"
+_PARSE = "string_split(coalesce(exam_identifier, ''), '_')"
 _OK = f"(len({_PARSE}) = 4 and try_cast({_PARSE}[2] as int) is not null)"
 
 SQL = {
@@ -313,8 +314,8 @@ SQL = {
     "duplicate_details": f"select substr(contenido, 1, 16) as hash, copias, case when length(muestra) > 80 then substr(muestra, 1, 80) || '...' else muestra end as muestra, claves from (select contenido, count(*) as copias, arg_min(enunciado, num) as muestra, count(distinct lower(respuesta_correcta)) as claves from (select *, {_HASH} as contenido from preguntas) group by contenido having count(*) > 1 order by copias desc, contenido limit 10)",
     "duplicates_by_community": f"select community, count(*) as repetidas from (select community, row_number() over (partition by {_HASH} order by num) as rn from preguntas) where rn > 1 group by community",
     "duplicates_by_year": f"select anio, count(*) as repetidas from (select anio, row_number() over (partition by {_HASH} order by num) as rn from preguntas) where rn > 1 group by anio",
-    "unique_sample_seeded": f"with src as (select * from preguntas) select num, row_number() over (order by k, num) as posicion from (select * from {_UNIQUE('')} order by k, num limit 45)",
-    "mock_exam_seeded": f"with src as (select *, {_CAT} as cat from preguntas), q(cat, cuota) as (values {_QUOTA_ROWS(QUOTAS)}) select cat, num, row_number() over (order by cat, rn) as posicion from (select u.cat, num, row_number() over (partition by u.cat order by k, num) as rn, cuota from {_UNIQUE('cat,')} u join q on q.cat = u.cat) where rn <= cuota",
+    "unique_sample_seeded": f"with src as (select * from preguntas where num is not null) select num, row_number() over (order by k, num) as posicion from (select * from {_UNIQUE('')} order by k, num limit 45)",
+    "mock_exam_seeded": f"with src as (select *, {_CAT} as kat from preguntas where num is not null), q(cat, cuota) as (values {_QUOTA_ROWS(QUOTAS)}) select cat, num, row_number() over (order by cat, rn) as posicion from (select u.kat as cat, num, row_number() over (partition by u.kat order by k, num) as rn, cuota from {_UNIQUE('kat,')} u join q on q.cat = u.kat) where rn <= cuota",
     "sample_feasibility": f"with q(cat, cuota) as (values {_QUOTA_ROWS({**QUOTAS, 12: 3, 2: 5_000})}), p as (select {_CAT} as cat, count(*) as n, count(distinct {_HASH}) as u from preguntas group by 1) select q.cat, q.cuota, coalesce(n, 0) as preguntas, coalesce(u, 0) as contenidos, case when coalesce(n, 0) < cuota then 'faltan_preguntas' when coalesce(u, 0) < cuota then 'faltan_contenidos' else 'ok' end as estado from q left join p on p.cat = q.cat",
     "client_projection_masked": f"select exam_id, question_id, tipo_examen, case when tipo_examen in ('normal', 'per') then respuesta_correcta end as respuesta_correcta from {_GRADED}",
     "last_answer_wins": f"select * from {_LAST}",
