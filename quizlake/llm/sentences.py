@@ -133,16 +133,16 @@ MASKS = [
     lambda c: _swap(c, rf"^({_SPACE}*\d+(?:{MASK}\d+)*)\.(?=\s)", "$1" + MASK),
 ]
 
-_TAIL = rf"[{_CLOSERS}]*(?:\s[»])?(?:{_SPACE}*{_EMOJI}+)*"
-_QUOTED = rf"{INNER}\s?[»”’\"」』“]+(?:{_SPACE}*{_EMOJI}+)*"
+_TAIL = rf"[{_CLOSERS}]*+(?:\s[»])?+(?:{_SPACE}*+{_EMOJI}++)*+"
+_QUOTED = rf"{INNER}\s?[»”’\"」』“]++(?:{_SPACE}*+{_EMOJI}++)*+"
 #: Cuts after every sentence of a masked block.
 CUTS = [
-    lambda c: _swap(c, rf"((?:[!?.…]|;(?<=\p{{IsGreek}};))+{_TAIL}{_SPACE}+)(?=\S)", "$1" + CUT),
+    lambda c: _swap(c, rf"((?:[!?.…]|;(?<=\p{{IsGreek}};))+{_TAIL}{_SPACE}++)(?=\S)", "$1" + CUT),
     # Not after dots of suspense before a small letter, nor before what a speaker's dash adds.
     lambda c: _swap(c, rf"{CUT}(?<=(?:\.\.|…)[{_CLOSERS}]{{0,3}}{_SPACE}{{1,4}}{CUT})(?=\p{{Ll}}|(?iu:{_any(GOING_ON)})\s)", ""),
     lambda c: _swap(c, rf"{CUT}(?=[—–]\s?\p{{Ll}})", ""),
-    lambda c: _swap(c, rf"([।॥؟۔]+{_TAIL}{_SPACE}*)(?=\S)", "$1" + CUT),
-    lambda c: _swap(c, rf"([。！？｡]+[»”’」』）)]*(?:{_SPACE}*{_EMOJI}+)*{_SPACE}*)(?=\S)", "$1" + CUT),
+    lambda c: _swap(c, rf"([।॥؟۔]++{_TAIL}{_SPACE}*+)(?=\S)", "$1" + CUT),
+    lambda c: _swap(c, rf"([。！？｡]++[»”’」』）)]*+(?:{_SPACE}*+{_EMOJI}++)*+{_SPACE}*+)(?=\S)", "$1" + CUT),
     # A quotation that ends with an end: a new sentence follows if it looks like one.
     lambda c: _swap(c, rf"({_QUOTED}{_SPACE}+)(?=[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡«“„\"(—]|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])(?!(?iu:{_any(GOING_ON)})\s)", "$1" + CUT),
     lambda c: F.when(c.rlike(_CAPITALS), _swap(c, rf"(^|{CUT})({_SPACE}*[\"«“„][^\"«»“”„{CUT}]{{0,400}}{_QUOTED}{_SPACE}+){CUT}", "$1$2")).otherwise(c),
