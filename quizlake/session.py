@@ -17,6 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew if it is read in fewer parts than would keep all cores busy.
+
+    For small inputs whose texts take long to work on; a large input has parts enough and is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder which all executors share: ``spark.checkpoint.dir``.
 
