@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 from quizlake.llm import canonical, leaks, lookalike, mojibake, neardup, quota, sentences, tokens
 from quizlake.llm.fields import question_fields
-from quizlake.session import table
+from quizlake.session import spread, table
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "preguntas").select("num", "enunciado", "opciones"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +27,11 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(question_fields(table(spark, sf_dir, "preguntas"))).select("num", "campo").distinct()
+    return mojibake.garbled(question_fields(_questions(spark, sf_dir))).select("num", "campo").distinct()
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.garbled(question_fields(table(spark, sf_dir, "preguntas")))
+    return mojibake.garbled(question_fields(_questions(spark, sf_dir)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,32 +47,32 @@ def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.consistent(question_fields(table(spark, sf_dir, "preguntas"))).select("num", "campo").distinct()
+    return lookalike.consistent(question_fields(_questions(spark, sf_dir))).select("num", "campo").distinct()
 
 
 def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = lookalike.consistent(question_fields(table(spark, sf_dir, "preguntas")))
+    got = lookalike.consistent(question_fields(_questions(spark, sf_dir)))
     return got.select("num", "campo", "texto", F.array_join("clases", ",").alias("clases"), "forma")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.revised_questions(table(spark, sf_dir, "preguntas"))
+    return neardup.revised_questions(_questions(spark, sf_dir))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.question_groups(table(spark, sf_dir, "preguntas"))
+    return neardup.question_groups(_questions(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.contained(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode(table(spark, sf_dir, "documents"))
+    return tokens.encode(_documents(spark, sf_dir))
 
 
 def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +85,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentences(table(spark, sf_dir, "documents"))
+    return sentences.sentences(_documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
