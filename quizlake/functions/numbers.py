@@ -31,3 +31,8 @@ def minutes_seconds(seconds: Column) -> Column:
     whole = F.floor(seconds)
     minutes = F.floor(whole / 60).cast("string")
     return F.concat(F.when(F.length(minutes) < 2, F.lpad(minutes, 2, "0")).otherwise(minutes), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+
+
+def hours(seconds: Column) -> Column:
+    """Written as hours with one decimal, as in "2.0 horas"."""
+    return F.concat(one_decimal(seconds / 3600), F.lit(" horas"))

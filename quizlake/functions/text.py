@@ -50,6 +50,16 @@ def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
+def display_name(code: Column, names: dict[str, str] | None = None) -> Column:
+    """The name of a code: from ``names``, else the code with blanks for underscores and its first sign in capitals."""
+    spaced = F.replace(code, F.lit("_"), F.lit(" "))
+    plain = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
+    if not names:
+        return plain
+    known = F.create_map(*(F.lit(x) for pair in sorted(names.items()) for x in pair))
+    return F.coalesce(F.try_element_at(known, code), plain)
+
+
 def exam_key(community: Column, year: Column, call: Column, test_code: Column) -> Column:
     """``community_year_call_testcode`` with the community in small letters; null if any part is null."""
     return F.concat(F.lower(community), F.lit("_"), year.cast("string"), F.lit("_"), call, F.lit("_"), test_code)

@@ -24,6 +24,29 @@ def last_answers(respuestas: DataFrame) -> DataFrame:
     return last.select("exam_id", "question_id", "_l.letra", "_l.segundos")
 
 
+def from_json(rows: DataFrame, column: str = "value") -> DataFrame:
+    """(exam_id, question_id, letra) of submissions written as JSON: {"exam_id": ..., "respuestas": {question: letter}}.
+
+    What is no such JSON gives no rows; an answer of null stays.
+    """
+    parsed = F.from_json(F.col(column), "exam_id string, respuestas map<string,string>", {"mode": "PERMISSIVE"})
+    return rows.select(parsed.alias("_s")).where("_s.exam_id is not null").select("_s.exam_id", F.explode("_s.respuestas").alias("question_id", "letra"))
+
+
+def as_json(rows: DataFrame) -> DataFrame:
+    """(value): every row as a JSON object, with its null fields."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def result_documents(g: DataFrame, pass_mark: float = 65.0) -> DataFrame:
+    """(exam_id, value): each exam's result as one JSON document, with its summary and its categories.
+
+    The categories of an exam are collected into one array: as many as the bank has.
+    """
+    per = by_category(g).groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("categoria", "correctas", "total", "porcentaje"))).alias("categorias"))
+    return exam_summary(g, pass_mark).join(per, "exam_id", "left").select("exam_id", F.to_json(F.struct("exam_id", "puntuacion", "porcentaje", "aprobado", "categorias")).alias("value"))
+
+
 def graded(respuestas: DataFrame, preguntas: DataFrame, entregas: DataFrame) -> DataFrame:
     """Answers with their question and whether they are right; unknown exams and questions are left out.
 

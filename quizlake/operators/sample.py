@@ -119,3 +119,15 @@ def repeat_groups(questions: DataFrame) -> DataFrame:
     per_key = rows.groupBy("contenido", "_k").agg(F.count(F.lit(1)).alias("n"), F.min_by("enunciado", "num").alias("e"), F.min("num").alias("m"))
     got = per_key.groupBy("contenido").agg(F.sum("n").alias("copias"), F.count("_k").alias("claves"), F.min_by("e", "m").alias("muestra"))
     return got.where("copias > 1")
+
+
+def repeat_report(questions: DataFrame, threshold: int = 10) -> DataFrame:
+    """Details of repeated contents if there are no more than ``threshold``, else their numbers per community and year.
+
+    (tipo, valor, repetidas), tipo being contenido, community or anio.
+    """
+    found = repeat_groups(questions)
+    if found.limit(threshold + 1).count() <= threshold:
+        return found.select(F.lit("contenido").alias("tipo"), text.clipped(F.col("muestra")).alias("valor"), (F.col("copias") - 1).alias("repetidas"))
+    parts = [repeats(questions, c).select(F.lit(c).alias("tipo"), F.col(c).cast("string").alias("valor"), "repetidas") for c in ("community", "anio")]
+    return parts[0].unionByName(parts[1])

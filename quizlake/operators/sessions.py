@@ -33,3 +33,8 @@ def active(sessions: DataFrame, now: Column, ttl: str = TTL) -> DataFrame:
     rows = sessions.where(F.col("exam_id").isNotNull()).groupBy("exam_id").agg(F.min("creada_at").alias("creada_at"), F.min("enviada_at").alias("enviada_at"))
     open_ = F.col("enviada_at").isNull() | (F.col("enviada_at") > now)
     return rows.where((F.col("creada_at") <= now) & open_ & ~expired(F.col("creada_at"), now, ttl)).select("exam_id", "creada_at")
+
+
+def active_count(sessions: DataFrame, now: Column, ttl: str = TTL) -> DataFrame:
+    """(activos): how many exams are alive at ``now``."""
+    return active(sessions, now, ttl).agg(F.count(F.lit(1)).alias("activos"))

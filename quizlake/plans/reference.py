@@ -231,6 +231,25 @@ def active_exams(spark, sf_dir):  # noqa: ANN001, ANN201
     return sessions.active(table(spark, sf_dir, "entregas"), F.lit("2025-06-01 12:00:00").cast("timestamp_ntz"), "30 days")
 
 
+def active_exam_count(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sessions.active_count(table(spark, sf_dir, "entregas"), F.lit("2025-06-01 12:00:00").cast("timestamp_ntz"), "30 days")
+
+
+def duplicate_report(spark, sf_dir):  # noqa: ANN001, ANN201
+    return sample.repeat_report(_bank(spark, sf_dir), 10)
+
+
+def category_display(spark, sf_dir):  # noqa: ANN001, ANN201
+    names = {str(c): f"Tema {c}" for c in QUOTAS}
+    return _bank(spark, sf_dir).where("categoria is not null").select("categoria").distinct().select("categoria", text.display_name(F.col("categoria"), names).alias("nombre"))
+
+
+def answers_round_trip(spark, sf_dir):  # noqa: ANN001, ANN201
+    """Answers written as one JSON document per answer and read back."""
+    one = grade.last_answers(table(spark, sf_dir, "respuestas")).select("exam_id", F.create_map("question_id", "letra").alias("respuestas"))
+    return grade.from_json(grade.as_json(one))
+
+
 def consume_once(spark, sf_dir):  # noqa: ANN001, ANN201
     return sessions.used_up(table(spark, sf_dir, "entregas"), "45 minutes")
 
@@ -252,7 +271,7 @@ filter_no_criteria unknown_communities catalogue_hierarchy calls_for_community_y
 duplicate_groups duplicate_details duplicates_by_community duplicates_by_year unique_sample_seeded mock_exam_seeded sample_feasibility
 client_projection_masked last_answer_wins answer_correct correct_answer_list question_results grade_exam_summary grade_by_category
 requirements_check pass_fail_special failure_reasons help_usage_stats unanswered option_annotations dq_options dq_answers dq_structure
-dq_unique_ids dq_histogram dq_distribution dq_quota_gaps dq_per_exam dq_rates dq_gate dq_report active_exams consume_once elapsed_format progress""".split()
+dq_unique_ids dq_histogram dq_distribution dq_quota_gaps dq_per_exam dq_rates dq_gate dq_report active_exams active_exam_count duplicate_report category_display answers_round_trip consume_once elapsed_format progress""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 # ---- SQL
@@ -342,6 +361,14 @@ SQL = {
     "dq_gate": f"select cast(sum(examenes - validos) as bigint) as fallos, sum(examenes - validos) = 0 as pasa from {_RATES}",
     "dq_report": f"select rpad(regla, 12, ' ') || lpad(cast(validos as varchar), 6, ' ') || '/' || rpad(cast(examenes as varchar), 6, ' ') || lpad(printf('%.1f', tasa), 6, ' ') || ' %' as linea from {_RATES}",
     "active_exams": "select exam_id, creada_at from (select exam_id, min(creada_at) as creada_at, min(enviada_at) as enviada_at from entregas group by exam_id) where creada_at <= timestamp '2025-06-01 12:00:00' and (enviada_at is null or enviada_at > timestamp '2025-06-01 12:00:00') and timestamp '2025-06-01 12:00:00' <= creada_at + interval 30 days",
+    "active_exam_count": "select count(*) as activos from (select min(creada_at) as c, min(enviada_at) as e from entregas where exam_id is not null group by exam_id) where c <= timestamp '2025-06-01 12:00:00' and (e is null or e > timestamp '2025-06-01 12:00:00') and timestamp '2025-06-01 12:00:00' <= c + interval 30 days",
+    "duplicate_report": f"""with r as (select num, enunciado, community, anio, {_HASH} as h, row_number() over (partition by {_HASH} order by num) as rn from preguntas),
+      g as (select h, count(*) as n, arg_min(enunciado, num) as e from r group by h having count(*) > 1)
+      select 'contenido' as tipo, case when length(e) > 80 then substr(e, 1, 80) || '...' else e end as valor, n - 1 as repetidas from g where (select count(*) from g) <= 10
+      union all select 'community', community, count(*) from r where rn > 1 and (select count(*) from g) > 10 group by community
+      union all select 'anio', cast(anio as varchar), count(*) from r where rn > 1 and (select count(*) from g) > 10 group by anio""",
+    "category_display": "select distinct categoria, case when try_cast(categoria as int) between 1 and 11 and categoria = cast(try_cast(categoria as int) as varchar) then 'Tema ' || categoria else upper(replace(categoria, '_', ' ')[1:1]) || replace(categoria, '_', ' ')[2:] end as nombre from preguntas where categoria is not null",
+    "answers_round_trip": f"select exam_id, question_id, letra from {_LAST}",
     "consume_once": "select exam_id, creada_at, enviada_at from (select exam_id, min(creada_at) as creada_at, min(enviada_at) as enviada_at from entregas group by exam_id) where enviada_at >= creada_at and enviada_at <= creada_at + interval 45 minutes",
     "elapsed_format": "select exam_id, case when s // 60 < 10 then '0' else '' end || (s // 60) || ':' || lpad(cast(s % 60 as varchar), 2, '0') as duracion from (select exam_id, epoch(date_trunc('second', enviada_at))::bigint - epoch(date_trunc('second', creada_at))::bigint as s from entregas where enviada_at is not null)",
     "progress": f"select e.exam_id, coalesce(n, 0) as respondidas, case when coalesce(num_preguntas, 0) = 0 then 0.0 else round_even(coalesce(n, 0) / num_preguntas * 100, 2) end as avance from (select exam_id, max(num_preguntas) as num_preguntas from entregas group by exam_id) e left join (select exam_id, count(*) as n from {_LAST} where not {_BLANK('letra')} group by exam_id) a on a.exam_id = e.exam_id",

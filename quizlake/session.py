@@ -59,7 +59,9 @@ def ship(spark: SparkSession, data: bytes, label: str) -> str:
     uri = f"{shared_dir(spark)}/{name}"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(uri)
-    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = files.makeQualified(path).toString()  # with its scheme, else addFile would look on the driver's disk
+    out = files.create(path)
     try:
         out.write(bytearray(data))
     finally:

@@ -95,3 +95,8 @@ def test_exam_ids(spark, kind):
 
     got = spark.range(20).select(new_exam_id(kind).alias("a"), new_exam_id(kind, F.col("id")).alias("b")).collect()
     assert len({r["a"] for r in got}) == 20 and all(r["b"].startswith(kind + "_") and len(r["b"]) == len(kind) + 9 for r in got)
+
+
+def test_names_and_hours(spark):
+    got = values(spark, [("test_uno",), ("x",), (None,)], "c string", text.display_name(F.col("c"), {"x": "Equis"}), N.hours(F.lit(7200)))
+    assert got == [("Test uno", "2.0 horas"), ("Equis", "2.0 horas"), (None, "2.0 horas")]

@@ -144,3 +144,31 @@ def test_drift_reads_what_json_gives():
 
 def test_fixture_tables_are_documented():
     assert set(tables.rows()) == set(tables.SCHEMAS)
+
+
+def test_submissions_as_json(spark):
+    rows = [('{"exam_id": "e", "respuestas": {"q1": "a", "q2": null}}',), ("{broken",), ('{"respuestas": {"q1": "a"}}',), (None,), ('{"exam_id": "f", "respuestas": {}}',)]
+    got = {tuple(r) for r in grade.from_json(spark.createDataFrame(rows, "value string")).collect()}
+    assert got == {("e", "q1", "a"), ("e", "q2", None)}
+    assert grade.as_json(spark.createDataFrame([(1, None)], "a int, b string")).first()["value"] == '{"a":1,"b":null}'
+
+
+def test_result_documents(spark, folders):
+    g = grade.graded(*(table(spark, folders["plain"], t) for t in ("respuestas", "preguntas", "entregas")))
+    got = [json.loads(r["value"]) for r in grade.result_documents(g).collect()]
+    assert got and all(sum(c["total"] for c in d["categorias"]) <= int(d["puntuacion"].split("/")[1]) for d in got)
+
+
+def test_repeat_report_changes_its_form(spark):
+    q = spark.createDataFrame([(i, f"t{i // 2}", {"a": "x"}, "k", "G", 2020) for i in range(30)], "num long, enunciado string, opciones map<string,string>, respuesta_correcta string, community string, anio int")
+    assert {r["tipo"] for r in sample.repeat_report(q, 20).collect()} == {"contenido"}
+    assert {(r["tipo"], r["valor"], r["repetidas"]) for r in sample.repeat_report(q, 10).collect()} == {("community", "G", 15), ("anio", "2020", 15)}
+
+
+def test_spread_keeps_rows(spark):
+    from quizlake.session import spread
+
+    df = spark.range(100).coalesce(1)
+    assert sorted(r["id"] for r in spread(df).collect()) == list(range(100)) and spread(df).rdd.getNumPartitions() > 1
+    wide = spark.range(100).repartition(64)
+    assert spread(wide) is wide
