@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizlake.functions.matching import DisjointSets, assignment
-from quizlake.session import stage
+from quizlake.session import ready, stage
 
 #: Values kept by a sketch.
 SKETCH = 64
@@ -31,7 +31,7 @@ FORMS = 8
 #: Partial profiles that a task keeps before it hands them on.
 FOLD = 20_000
 #: Least similarity of a rename.
-RENAMED = 0.5
+RENAMED = 0.35
 #: Width of a chunk of a feed's files.
 CHUNK_SECONDS = 30 * 86_400
 #: Names above which the corpus sketches are joined by a shuffle rather than broadcast.
@@ -131,6 +131,7 @@ def profile(raw: DataFrame) -> DataFrame:
     the field stands still and 1 if no value comes twice, null of a single value; the number of distinct values is exact
     while they fit the sketch, estimated from it beyond.
     """
+    ready(raw.sparkSession)
     parts = raw.where(F.col("archivo_id").isNotNull()).select("feed", F.col("archivo_id").cast("long").alias("archivo_id"), F.col("exportado_at").cast("timestamp_ntz").alias("exportado_at"), "payload").mapInPandas(_fold, _PROFILE)
     sums = [F.sum(F.col("tipos")[i]).alias(f"_{i}") for i in range(len(TYPES))]
     one = parts.groupBy("archivo_id", "campo").agg(F.min("feed").alias("feed"), F.min("exportado_at").alias("exportado_at"), F.sum("n").alias("n"), *sums, _merged("valores").alias("valores"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("formas")))), 1, FORMS).alias("formas"))
@@ -301,5 +302,6 @@ def unify(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
                 out.append((feed, file, no, *(next((have[n] for n in many if n in have), None) for _, many in spelled)))
             yield pd.DataFrame(out, columns=["feed", "archivo_id", "registro_no", *(c for c, _ in spelled)])
 
+    ready(raw.sparkSession)
     wanted = raw.where(F.col("archivo_id").isNotNull()).select("feed", F.col("archivo_id").cast("long").alias("archivo_id"), F.col("registro_no").cast("long").alias("registro_no"), "payload")
     return wanted.mapInPandas(rows, schema).distinct()

@@ -3,17 +3,36 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_READY: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Give this package to the executors, where it need not be installed. Done once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _READY:
+        return
+    _READY.add(sc.applicationId)
+    here = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(_put(spark, packed.getvalue(), f"quizlake-{uuid.uuid4().hex}.zip"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of the data set in ``sf_dir``."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -53,21 +72,24 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession, data: bytes, label: str) -> str:
-    """Put ``data`` into the shared folder and have every executor fetch it; returns the name for ``local_path``."""
-    name = f"{label}-{uuid.uuid4().hex}"
-    uri = f"{shared_dir(spark)}/{name}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
+def _put(spark: SparkSession, data: bytes, name: str) -> str:
+    """Write a file into the shared folder; returns its full address, with its scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    uri = files.makeQualified(path).toString()  # with its scheme, else addFile would look on the driver's disk
     out = files.create(path)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
+    uri = files.makeQualified(path).toString()
     _STAGED.append((spark, uri))
-    spark.sparkContext.addFile(uri)
+    return uri
+
+
+def ship(spark: SparkSession, data: bytes, label: str) -> str:
+    """Put ``data`` into the shared folder and have every executor fetch it; returns the name for ``local_path``."""
+    name = f"{label}-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(_put(spark, data, name))
     return name
 
 

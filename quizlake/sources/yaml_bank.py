@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quizlake.session import ready
+
 SCHEMA = (
     "id string, enunciado string, opciones map<string,string>, respuesta_correcta string, title string, subtitle string, "
     "total_questions int, community string, anio int, convocatoria string, test_code string, comunidad_autonoma string, "
@@ -131,6 +133,7 @@ class ExamYaml(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ready(spark)
     spark.dataSource.register(ExamYaml)
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quizlake.session import ready
+
 OUT = "exam_id string, estado string, creada_at timestamp, ts timestamp"
 
 
@@ -52,5 +54,6 @@ def consume_once(events: DataFrame, ttl: timedelta = timedelta(hours=2), delay:
                 state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["exam_id", "estado", "creada_at", "ts"])
 
+    ready(events.sparkSession)
     known = events.where("exam_id is not null and clase is not null and ts is not null").withWatermark("ts", delay)
     return known.groupBy("exam_id").applyInPandasWithState(step, OUT, "creada long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -36,7 +36,7 @@ def rows():
     qs = [question(n) for n in range(1, 121)]
     qs += [
         question(201, enunciado=stem(1).upper().replace(" ", "  ") + "!", opciones=[("d", "A " + question(1)["opciones"][0][1][2:] + "."), *question(1)["opciones"][1:]]),
-        question(202, enunciado=stem(2).encode().decode("cp1252").replace("Ã", "Ã")),
+        question(202, enunciado=stem(2).encode().decode("cp1252")),
         question(203, enunciado="hélice".encode().decode("latin-1") + " " + stem(3)),
         question(204, enunciado=stem(4) + " ａｎｃｌａ", opciones=[("a", "rézon x"), ("b", "so​nda"), ("c", "vеla"), ("d", "fa ro")]),
         question(205, enunciado=stem(5) + " más", opciones=question(5)["opciones"]),
