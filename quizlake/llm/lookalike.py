@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quizlake.functions.matching import DisjointSets
 from quizlake.llm.mojibake import restore
+from quizlake.session import ready
 
 # Letters of the same shape, Latin first, by script.
 CYRILLIC = {"A": "А", "B": "В", "C": "С", "E": "Е", "H": "Н", "I": "І", "J": "Ј", "K": "К", "M": "М", "O": "О", "P": "Р", "S": "Ѕ", "T": "Т", "X": "Х", "Y": "У", "a": "а", "c": "с", "e": "е", "h": "һ", "i": "і", "j": "ј", "o": "о", "p": "р", "s": "ѕ", "x": "х", "y": "у"}
@@ -120,6 +121,7 @@ def consistent(fields: DataFrame) -> DataFrame:
     Garbled texts (wrong encoding) are no case and are left out. Null, empty and ordinary texts give no row and never leave
     the JVM. A word that stays mixed after rewriting, or a mark no letter takes, stays as it is within ``forma``.
     """
+    ready(fields.sparkSession)
     counts = frequencies(fields)
     anywhere, in_mixed = rewriting(counts, False), rewriting(counts, True)
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quizlake.session import ready
+
 #: Encodings in which bytes of UTF-8 may have been read.
 READ_AS = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "cp1251")
 #: (read as, meant): one-byte encodings taken for one another.
@@ -176,5 +178,6 @@ def garbled(fields: DataFrame) -> DataFrame:
     Null, empty and ASCII texts are never garbled; they and all texts of ordinary signs stay in the JVM. What cannot be
     restored (replacement characters) stays as it is within ``restaurado``.
     """
+    ready(fields.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields.schema.fields) + ", restaurado string"
     return fields.where(suspect(F.col("texto"))).mapInPandas(_repair, schema)

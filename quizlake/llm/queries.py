@@ -19,72 +19,89 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are the same but for formatting: (num_a, num_b), the smallest number first."""
     return canonical.same_questions(table(spark, sf_dir, "preguntas"))
 
 
 def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per question with its number of copies."""
     return canonical.distinct_questions(table(spark, sf_dir, "preguntas"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields decoded with a wrong encoding: (num, campo)."""
     return mojibake.garbled(question_fields(_questions(spark, sf_dir))).select("num", "campo").distinct()
 
 
 def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields with their text as it stands and as it was meant."""
     return mojibake.garbled(question_fields(_questions(spark, sf_dir)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans and categories that cannot be filled: (plan_id, categoria)."""
     return quota.unmet(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needed, available and taken questions of every plan and category."""
     return quota.report(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
 
 
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples themselves: (plan_id, num, categoria)."""
     return quota.sample(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with other characters than they seem to have: (num, campo)."""
     return lookalike.consistent(question_fields(_questions(spark, sf_dir))).select("num", "campo").distinct()
 
 
 def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields with the kinds of deviation and their consistent form."""
     got = lookalike.consistent(question_fields(_questions(spark, sf_dir)))
     return got.select("num", "campo", "texto", F.array_join("clases", ",").alias("clases"), "forma")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions with a similarity of 0.7 or more, but for those of p2: (num_a, num_b)."""
     return neardup.revised_questions(_questions(spark, sf_dir))
 
 
 def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per question with its group and its number of links."""
     return neardup.question_groups(_questions(spark, sf_dir))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with twelve successive words of an item: (doc_id, item_id)."""
     return leaks.contained(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with literal or paraphrased items, and what they share."""
     return leaks.leaks(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document: (doc_id, ids)."""
     return tokens.encode(_documents(spark, sf_dir))
 
 
 def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens per source."""
     docs = table(spark, sf_dir, "documents")
     return tokens.totals(docs, tokens.encode(docs), "source")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all sentences: (doc_id, start_char, end_char)."""
     return p10_sentences(spark, sf_dir).select("doc_id", "start_char", "end_char").distinct()
 
 
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sentences with their places and texts."""
     return sentences.sentences(_documents(spark, sf_dir))
 
 

@@ -115,7 +115,7 @@ _NO_ENDS = [
     rf"\.(?<={MASK}\p{{L}}\.)(?=\s*[,;:)]|\s+[^\p{{Lu}}\s«“\"¿¡(])",
     r"\.(?<=(?<![\p{L}\p{N}])v\.)(?=\s+(?:\p{Ll}|\d))",
     r"\.(?<=(?<!['′º°]\s)(?<!\d\s)(?<![\p{L}\p{N}'′])\p{Lu}\.)(?=\s+\p{L})",  # initials, but not the points of a position
-    r"\.(?<=(?:^|[.!?…»”\"]\s)\p{Ll}\.)(?=\s+\p{Lu})",
+    rf"\.(?<=(?:^\s{{0,4}}|[.!?…»”\"{MASK}]\s{{1,4}})\p{{Ll}}\.)(?=\s+\p{{Lu}})",
     rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])no?\.)(?=\s*\d+(?!\d)(?!\s+{_any(UNITS)}))",
     rf"(?iu)\.(?<=\d\.)(?=\s+{_any(MONTHS)}(?!\p{{L}}))",
 ]

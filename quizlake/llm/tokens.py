@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quizlake.llm.transducer import Lexicon, compile_lexicon
-from quizlake.session import local_path, ship
+from quizlake.session import local_path, ready, ship
 
 #: Place of the tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -120,6 +120,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     Null and empty texts have the empty list. Rows that repeat are encoded each time. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
+    ready(spark)
     with open(f"{tokenizers}/{vocabulary}", "rb") as f:
         data = f.read()
     ranks = read_ranks(data)
