@@ -64,6 +64,8 @@ def _sign_cost(c: str, before: str, after: str) -> float:
         return 1.5 if after.isalpha() or before > "\x7f" else 0.25 if before.isalpha() else 0.0
     if kind[0] == "M" and not "\u0300" <= c <= "\u036f":
         return 1.0
+    if "\u02b0" <= c <= "\u02ff":  # accents standing alone
+        return 1.5
     if kind[0] == "L" or kind[0] in "MZ" or kind in ("Cf", "Nd") or c >= "＀" and c <= "～":
         return 0.0
     if c in "±°×÷" and (after.isdigit() or before.isdigit()) and not before.isalpha() and not after.isalpha():
