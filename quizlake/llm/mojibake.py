@@ -27,8 +27,16 @@ SWAPPED = (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("
 LAYERS = 5
 #: Least drop of the cost; smaller ones, down to SMALL_DROP, count if no cost remains.
 DROP, SMALL_DROP = 1.0, 0.35
-#: Fields without any sign outside this set cannot be damaged and never leave the JVM.
-ORDINARY = r"[\x00-\x7FáéíóúüñÁÉÍÓÚÜÑ¿¡«»“”‘’–—…º\x{A0}\p{M}\p{Zs}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{FF01}-\x{FF5E}]"
+#: Signs that running text has anyway; any other sign makes a field suspect.
+ORDINARY = r"\x00-\x7FáéíóúüñÁÉÍÓÚÜÑ¿¡«»“”‘’–—…º\x{A0}\x{300}-\x{36F}\p{Zs}\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{FF01}-\x{FF5E}"
+#: Ordinary signs where they cost something, as pairs of code pages swap them for one another (é and Ú, í and ¡, ó and —):
+#: wherever cost() is above 0, one of these is found, and a field without them never leaves the JVM.
+_LETTER, _SMALL = r"A-Za-záéíóúüñÁÉÍÓÚÜÑº\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}", r"a-záéíóúüñ\x{FF41}-\x{FF5A}"
+_ALNUM = _LETTER + r"0-9\x{FF10}-\x{FF19}"
+ODD = r"(?=[^\x00-\x7F])(?:" + "|".join((
+    f"[^{ORDINARY}]", f"(?<=[{_SMALL}])[ÁÉÍÓÚÜÑ]", f"(?<![{_LETTER}])[ñÑ](?![{_LETTER}])", f"(?<![0-9.nNoO])º|(?<=[nNoO])º(?=[{_LETTER}])",
+    f"(?<=[{_ALNUM}])[¿¡«“‘]", r"[¿¡«“‘](?=[\s\x1C-\x1F\p{Zs}]|\z)", f"[»”’](?=[{_ALNUM}])", f"(?<=[{_LETTER}])[–—](?=[{_LETTER}])",
+)) + ")"
 
 _HOME = frozenset("áéíóúüñÁÉÍÓÚÜÑ")
 _RARE = frozenset("ßþðÞÐƒ")
@@ -125,13 +133,17 @@ def _as_utf8(text: str, encoding: str) -> str:
     return "".join([*out, text[at:]])
 
 
+#: A dash between letters that is none of the ñ and ó of Mac Roman: a ñ stands before a small vowel, an ó before a small letter.
+_DASH = re.compile(r"(?<=[^\W\d_])(?:–(?![aeiouáéíóúü])|—(?![a-záéíóúüñ]))(?=[^\W\d_])")
+
+
 def _as_other(text: str, read_as: str, meant: str) -> str:
     """The words that look better, or as faultless, when read in ``meant``, so read; all others stay."""
     table, signs = _bytes_of(read_as), _signs_of(meant)
 
     def word(m: re.Match) -> str:
         old = m[0]
-        if old.isascii() or any(c > "\x7f" and c not in table for c in old):
+        if old.isascii() or any(c > "\x7f" and c not in table for c in old) or read_as == "cp1252" and _DASH.search(old):
             return old
         new = "".join(signs[table[c]] if c > "\x7f" else c for c in old)
         a, b = cost(new), cost(old)
@@ -162,8 +174,8 @@ def restore(text: str) -> tuple[str, bool]:
 
 
 def suspect(text: Column) -> Column:
-    """Whether a text holds a sign that damage would leave; all others need no look."""
-    return F.coalesce(F.regexp_replace(text, ORDINARY + "+", "") != "", F.lit(False))
+    """Whether a text holds a sign that damage would leave, or has one where damage would put it; all others cost nothing."""
+    return F.coalesce(text.rlike(ODD), F.lit(False))
 
 
 def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,7 +189,7 @@ def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def garbled(fields: DataFrame) -> DataFrame:
     """The garbled rows of ``fields`` (any columns, with ``texto``), each with ``restaurado``.
 
-    Null, empty and ASCII texts are never garbled; they and all texts of ordinary signs stay in the JVM. What cannot be
+    Null, empty and ASCII texts are never garbled; they and all texts that cost nothing stay in the JVM. What cannot be
     restored (replacement characters) stays as it is within ``restaurado``.
     """
     ready(fields.sparkSession)

@@ -61,6 +61,20 @@ def test_suspect_never_hides_a_case(spark):
     assert all(r["s"] or r["t"] is None or not mojibake.restore(r["t"])[1] for r in rows)
 
 
+def test_suspect_passes_all_that_costs(spark):
+    signs = {s for e in (*mojibake.READ_AS, *sum(mojibake.SWAPPED, ())) for s in mojibake._bytes_of(e)} | set("\xad\u0301\u0489\u200b\u20dd\u3000Ａａ１！")
+    near = ["", *"aZnN1. (-\t\x1f\x7féÚñº¿»–…", "\xa0", "ａ", "Ａ", "１", "\u0301"]
+    texts = [b + s + a for s in sorted(signs) for b in near for a in near]
+    passed = spark.createDataFrame([(t,) for t in texts], "t string").where(mojibake.suspect(F.col("t"))).collect()
+    assert {t for t in texts if mojibake.cost(t) > 0} <= {r["t"] for r in passed}
+
+
+def test_ordinary_signs_in_odd_places_are_restored(spark):
+    pairs = {"de travÚs": "de través", "un cap¡tulo": "un capítulo", "el patr—n": "el patrón", "un a–o": "un año", "tren Madrid–Vigo, norte–sur, Él—Ella": None, "más, según él: «¿Ñandú?» – 3.º": None}
+    fields = spark.createDataFrame([(i, "a", t) for i, t in enumerate(pairs)], "num long, campo string, texto string")
+    assert {r["texto"]: r["restaurado"] for r in mojibake.garbled(fields).collect()} == {k: v for k, v in pairs.items() if v}
+
+
 def test_canonical_text(spark):
     rows = [("¡Hola, Mundo!", ["b x", "A"]), ("hola mun do", ["a.", "B-X"]), ("HOLA MUNDO", ["A", "bx", ""]), (None, None), ("", []), ("ΣΑΣ", []), ("σας", [])]
     t = [r[0] for r in spark.createDataFrame(rows, "e string, o array<string>").select(canonical.canonical([F.col("e")], F.col("o"))).collect()]
