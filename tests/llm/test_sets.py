@@ -117,6 +117,22 @@ def test_paraphrases_are_reported(spark):
     assert got[900]["clase"] == "parafraseada" and got[900]["opciones_halladas"] == 2 and got[901]["clase"] == "literal" and len(got) == 2
 
 
+def test_paraphrases_with_many_copies_are_reported(spark):
+    core = "el velero azul de doce metros navega hacia la isla verde cuando pierde su ancla dorada cerca del faro viejo"
+    item = core + " a) fondear en la cala norte b) llamar al puerto sur"
+    changed = "el velero azul de once metros navega rumbo a la isla verde y pierde su ancla dorada junto al faro viejo a) fondear en la cala norte o b) llamar al puerto sur"
+    noise = [(i, " ".join(f"ruido{(i * 13 + j) % 400}" for j in range(60)) + " de la el a en") for i in range(60)]
+    docs = spark.createDataFrame([(900 + i, changed.upper() + "." if i % 2 else changed) for i in range(30)] + noise, "doc_id long, text string")
+    got = leaks.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == set(range(900, 930)) and {r["clase"] for r in got} == {"parafraseada"}
+
+
+def test_no_paraphrase_of_an_item_without_content_words(spark):
+    common = "de la el en que se con por"
+    docs = [(i, f"{common} ruido{i}") for i in range(40)]
+    assert leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, common)], "item_id long, text string")).count() == 0
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(40):
