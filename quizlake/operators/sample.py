@@ -108,9 +108,9 @@ def repeats(questions: DataFrame, by: str, id_col: str = "num") -> DataFrame:
     return extra.orderBy(F.desc("repetidas"), F.col(by).asc_nulls_first())
 
 
-def repeat_details(questions: DataFrame, most: int = 10) -> DataFrame:
-    """(hash, copias, muestra, conflicto) of contents that occur more than once, at most ``most`` of them: a report's head."""
-    return repeat_groups(questions).orderBy(F.desc("copias"), "contenido").limit(most).select(F.substring("contenido", 1, 16).alias("hash"), "copias", text.clipped(F.col("muestra")).alias("muestra"), "claves")
+def repeat_details(questions: DataFrame) -> DataFrame:
+    """(hash, copias, muestra, claves) of all contents that occur more than once, those with most copies first."""
+    return repeat_groups(questions).orderBy(F.desc("copias"), "contenido").select(F.substring("contenido", 1, 16).alias("hash"), "copias", text.clipped(F.col("muestra")).alias("muestra"), "claves")
 
 
 def repeat_groups(questions: DataFrame) -> DataFrame:

@@ -165,6 +165,11 @@ def test_repeat_report_changes_its_form(spark):
     assert {(r["tipo"], r["valor"], r["repetidas"]) for r in sample.repeat_report(q, 10).collect()} == {("community", "G", 15), ("anio", "2020", 15)}
 
 
+def test_repeat_details_has_every_repeated_content(spark):
+    q = spark.createDataFrame([(i, f"t{i // 2}", {"a": "x"}, "k") for i in range(30)] + [(99, "once", {"a": "x"}, "k")], "num long, enunciado string, opciones map<string,string>, respuesta_correcta string")
+    assert sorted((r["muestra"], r["copias"]) for r in sample.repeat_details(q).collect()) == sorted((f"t{i}", 2) for i in range(15))
+
+
 def test_spread_keeps_rows(spark):
     from quizlake.session import spread
 
