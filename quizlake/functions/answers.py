@@ -45,3 +45,9 @@ def option_text(options: Column, letter: Column) -> Column:
 def accepted_texts(options: Column, key: Column) -> Column:
     """The options under accepted letters, as a map."""
     return F.map_filter(options, lambda k, v: F.array_contains(accepted(key), k))
+
+
+def written(options: Column) -> Column:
+    """Options as one text: "letter: text" in the order of the letters, joined by " | ". Null texts are empty; null stays null."""
+    parts = F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
+    return F.array_join(parts, " | ")

@@ -26,6 +26,11 @@ def one_decimal(x: Column) -> Column:
     return F.format_string("%.1f", F.bround(x, 1))
 
 
+def signed(x: Column) -> Column:
+    """A whole number written with its sign, 0 as +0. Null stays null."""
+    return F.when(x >= 0, F.concat(F.lit("+"), x.cast("string"))).otherwise(x.cast("string"))
+
+
 def minutes_seconds(seconds: Column) -> Column:
     """Written as mm:ss; minutes of more than two digits stay whole. Null stays null."""
     whole = F.floor(seconds)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizlake.functions import answers as A
 from quizlake.functions import numbers as N
 from quizlake.functions import text
+from quizlake.sources import yaml_bank
 
 EXPECTED = A.LETTERS
 
@@ -97,25 +98,101 @@ def quota_gaps(questions: DataFrame, quotas: dict[int, int]) -> DataFrame:
     return per.select("exam_identifier", F.inline(rows)).withColumn("diferencia", F.col("hay") - F.col("oficial"))
 
 
-def per_exam(questions: DataFrame) -> DataFrame:
-    """Per exam whether each rule holds: (exam_identifier, preguntas, opciones_ok, respuestas_ok, estructura_ok, numeros_ok)."""
-    rows = questions.where(F.col("exam_identifier").isNotNull()).select("exam_identifier", "numero_pregunta", option_issue().isNull().alias("o"), answer_issue().isNull().alias("a"), (F.size(missing_parts()) == 0).alias("s"))
-    per_number = rows.groupBy("exam_identifier", "numero_pregunta").agg(F.count(F.lit(1)).alias("n"), F.bool_and("o").alias("o"), F.bool_and("a").alias("a"), F.bool_and("s").alias("s"))
-    return per_number.groupBy("exam_identifier").agg(F.sum("n").alias("preguntas"), F.bool_and("o").alias("opciones_ok"), F.bool_and("a").alias("respuestas_ok"), F.bool_and("s").alias("estructura_ok"), F.bool_and(F.col("numero_pregunta").isNull() | (F.col("n") == 1)).alias("numeros_ok"))
+#: Rules of the audit, in the order of its rates.
+RULES = ("distribucion", "opciones", "respuestas", "estructura", "numeros")
+#: What an exam whose header names no number of questions is held against.
+EXPECTED_QUESTIONS = 45
 
 
-def rates(questions: DataFrame) -> DataFrame:
-    """(regla, validos, examenes, tasa): share of exams for which each rule holds, in percent with one decimal."""
-    one = per_exam(questions).agg(F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(c) for c in ("opciones_ok", "respuestas_ok", "estructura_ok", "numeros_ok")))
-    rows = F.array(*(F.struct(F.lit(c[:-3]).alias("regla"), F.col(c).alias("validos")) for c in ("opciones_ok", "respuestas_ok", "estructura_ok", "numeros_ok")))
-    return one.select("n", F.inline(rows)).select("regla", "validos", F.col("n").alias("examenes"), N.percent(F.col("validos"), F.col("n"), 1).alias("tasa"))
+def per_exam(questions: DataFrame, exams: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """Per exam whether each rule holds: (exam_identifier, estado, esperadas, preguntas, distribucion_ok, opciones_ok, ...).
 
+    ``exams`` has exam_identifier and esperadas, one row per exam file; an exam without any question, unreadable or empty, has
+    the state ``error`` and null for every rule. Exams of ``questions`` that ``exams`` lacks are audited too, those without a
+    name are not. An exam fits if its categories have the official numbers and its total is what its header expects.
+    """
+    cat = F.col("categoria").try_cast("int")
+    counts = [F.count_if(F.coalesce(cat == F.lit(c), F.lit(False))).alias(f"_{c}") for c in quotas]
+    rows = questions.where(F.col("exam_identifier").isNotNull()).select("exam_identifier", "numero_pregunta", "categoria", option_issue().isNull().alias("o"), answer_issue().isNull().alias("a"), (F.size(missing_parts()) == 0).alias("s"))
+    per_number = rows.groupBy("exam_identifier", "numero_pregunta").agg(F.count(F.lit(1)).alias("n"), F.bool_and("o").alias("o"), F.bool_and("a").alias("a"), F.bool_and("s").alias("s"), *counts)
+    same = F.lit(True)
+    for c, q in quotas.items():
+        same = same & (F.sum(f"_{c}") == q)
+    found = per_number.groupBy("exam_identifier").agg(
+        F.sum("n").alias("preguntas"),
+        same.alias("_d"),
+        F.bool_and("o").alias("opciones_ok"),
+        F.bool_and("a").alias("respuestas_ok"),
+        F.bool_and("s").alias("estructura_ok"),
+        F.bool_and(F.col("numero_pregunta").isNull() | (F.col("n") == 1)).alias("numeros_ok"),
+    )
+    files = exams.where(F.col("exam_identifier").isNotNull()).groupBy("exam_identifier").agg(F.max("esperadas").alias("esperadas"))
+    both = files.join(found, "exam_identifier", "full").withColumns({"esperadas": F.coalesce("esperadas", F.lit(EXPECTED_QUESTIONS)), "preguntas": F.coalesce("preguntas", F.lit(0))})
+    fits = F.when(F.col("_d").isNotNull(), F.col("_d") & (F.col("preguntas") == F.col("esperadas"))).alias("distribucion_ok")
+    state = F.when(F.col("preguntas") == 0, "error").otherwise("ok").alias("estado")
+    return both.select("exam_identifier", state, "esperadas", "preguntas", fits, *(f"{r}_ok" for r in RULES[1:]))
+
+
+def _totals(audited: DataFrame) -> DataFrame:
+    return audited.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("estado") == "error").alias("errores"), *(F.count_if(f"{r}_ok").alias(r) for r in RULES))
 
-def gate(questions: DataFrame) -> DataFrame:
-    """(fallos, pasa): exams that break a rule, counted per rule and summed; passes at 0."""
-    return rates(questions).agg(F.coalesce(F.sum(F.col("examenes") - F.col("validos")), F.lit(0)).alias("fallos")).withColumn("pasa", F.col("fallos") == 0)
 
+def rates(audited: DataFrame) -> DataFrame:
+    """(regla, validos, examenes, tasa): share of all exams, those in error among them, for which each rule holds; percent, one decimal."""
+    rows = F.array(*(F.struct(F.lit(r).alias("regla"), F.col(r).alias("validos")) for r in RULES))
+    return _totals(audited).select("n", F.inline(rows)).select("regla", "validos", F.col("n").alias("examenes"), N.percent(F.col("validos"), F.col("n"), 1).alias("tasa"))
 
-def report(questions: DataFrame) -> DataFrame:
-    """(linea): the rates as lines of a console report."""
-    return rates(questions).select(F.concat(F.rpad("regla", 12, " "), F.lpad(F.col("validos").cast("string"), 6, " "), F.lit("/"), F.rpad(F.col("examenes").cast("string"), 6, " "), F.lpad(N.one_decimal(F.col("tasa")), 6, " "), F.lit(" %")).alias("linea"))
+
+def gate(audited: DataFrame) -> DataFrame:
+    """(errores, fallos, pasa): exams in error, and with them the exams that break a rule, counted per rule and summed; passes at 0."""
+    broken = sum((F.col("n") - F.col("errores") - F.col(r) for r in RULES), F.col("errores"))
+    return _totals(audited).select("errores", broken.alias("fallos"), (broken == 0).alias("pasa"))
+
+
+def report(questions: DataFrame, audited: DataFrame, quotas: dict[int, int]) -> DataFrame:
+    """(seccion, exam_identifier, linea): the audit as lines of a console report.
+
+    Sections: resumen (exams valid and faulty by each rule), error (exams in error), one per rule with what breaks it, exam
+    by exam and question by question, and tasa (the rates).
+    """
+    def lines(df: DataFrame, section: str, *parts: Column | str, exam: Column | None = None) -> DataFrame:
+        text_ = [F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("-")) for p in parts]
+        return df.select(F.lit(section).alias("seccion"), (F.col("exam_identifier") if exam is None else exam).alias("exam_identifier"), F.concat(*text_).alias("linea"))
+
+    none = F.lit(None).cast("string")
+    named = questions.where(F.col("exam_identifier").isNotNull())
+    one = _totals(audited)
+    summary = one.select("n", "errores", F.inline(F.array(*(F.struct(F.lit(r).alias("regla"), F.col(r).alias("validos")) for r in RULES))))
+    rate = rates(audited)
+    shown = F.concat(F.rpad("regla", 12, " "), F.lpad(F.col("validos").cast("string"), 6, " "), F.lit("/"), F.rpad(F.col("examenes").cast("string"), 6, " "), F.lpad(N.one_decimal(F.col("tasa")), 6, " "), F.lit(" %"))
+    place = (F.col("categoria"), " | ", F.col("numero_pregunta"), " | ")
+    keys = F.coalesce(F.nullif(F.array_join(_keys(), ", "), F.lit("")), F.lit("ninguna"))
+    parts = [
+        lines(summary, "resumen", F.col("regla"), ": ", F.col("validos"), " validos, ", F.col("n") - F.col("errores") - F.col("validos"), " con fallos, ", F.col("errores"), " con errores, ", F.col("n"), " en total", exam=none),
+        lines(audited.where("estado = 'error'"), "error", "sin preguntas"),
+        lines(audited.where("not distribucion_ok"), "distribucion", F.col("preguntas"), " preguntas, esperadas ", F.col("esperadas")),
+        lines(quota_gaps(questions, quotas).where("diferencia <> 0"), "distribucion", "categoria ", F.col("cat"), ": ", F.col("hay"), " de ", F.col("oficial"), " (", N.signed(F.col("diferencia")), ")"),
+        lines(named.withColumn("_i", option_issue()).where("_i is not null"), "opciones", *place, keys, " | ", F.col("_i")),
+        lines(named.withColumn("_i", answer_issue()).where("_i is not null"), "respuestas", *place, F.col("respuesta_correcta"), " | ", keys, " | ", F.col("_i")),
+        lines(named.withColumn("_i", F.array_join(missing_parts(), ",")).where("_i <> ''"), "estructura", *place, F.col("_i")),
+        lines(repeated_numbers(questions), "numeros", F.col("numero_pregunta"), " | ", F.col("veces"), " veces | ", F.col("categorias")),
+        lines(rate, "tasa", shown, exam=none),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def files(spark: SparkSession, folder: str, quotas: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(questions, audited) of the exam files below a folder; an exam is its file, and its state is the reader's.
+
+    ``audited`` is ``per_exam`` with the reader's complaint in ``error``. Files that cannot be read, of another form or
+    without questions are exams in error.
+    """
+    yaml_bank.register(spark)
+    source = spark.read.format("exam_yaml")
+    state = source.option("errors", "true").load(folder)
+    questions = source.option("errors", "false").load(folder).withColumn("exam_identifier", F.col("archivo"))
+    audited = per_exam(questions, state.select(F.col("archivo").alias("exam_identifier"), "esperadas"), quotas)
+    return questions, audited.join(state.select(F.col("archivo").alias("exam_identifier"), "error"), "exam_identifier", "left")

@@ -1,4 +1,4 @@
-"""Grading: answers joined to questions, results per question, exam and category, and rules with reasons.
+"""Grading: all questions of an exam with their answers, results per question, exam and category, and rules with reasons.
 
 Rules are tables, not code: the thresholds are the caller's.
 """
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quizlake.functions import answers as A
 from quizlake.functions import numbers as N
 from quizlake.functions import text
-from quizlake.operators.skew import split_join
 
 
 def last_answers(respuestas: DataFrame) -> DataFrame:
@@ -38,52 +37,91 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def result_documents(g: DataFrame, pass_mark: float = 65.0) -> DataFrame:
-    """(exam_id, value): each exam's result as one JSON document, with its summary and its categories.
+def exam_questions(preguntas: DataFrame, entregas: DataFrame) -> DataFrame:
+    """(exam_id, question_id): what was asked in the submissions that name an exam of the bank.
 
-    The categories of an exam are collected into one array: as many as the bank has.
+    It is the exam's questions by their numbers, as many as the submission says (all if it says nothing); of several
+    questions of one number the first by ``num`` is meant, so a submission never gets more rows than an exam has numbers.
     """
-    per = by_category(g).groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("categoria", "correctas", "total", "porcentaje"))).alias("categorias"))
-    return exam_summary(g, pass_mark).join(per, "exam_id", "left").select("exam_id", F.to_json(F.struct("exam_id", "puntuacion", "porcentaje", "aprobado", "categorias")).alias("value"))
+    known = F.col("exam_identifier").isNotNull()
+    made = entregas.where(known & F.col("exam_id").isNotNull()).groupBy("exam_id").agg(F.min("exam_identifier").alias("exam_identifier"), F.max("num_preguntas").alias("_most"))
+    numbered = preguntas.where(known & F.col("id").isNotNull() & F.col("numero_pregunta").isNotNull())
+    numbered = numbered.groupBy("exam_identifier", "numero_pregunta").agg(F.min_by("id", F.struct("num", "id")).alias("question_id"))
+    asked = made.join(numbered, "exam_identifier").where(F.col("_most").isNull() | (F.col("numero_pregunta") <= F.col("_most")))
+    return asked.select("exam_id", "question_id").distinct()
+
+
+def exam_rows(respuestas: DataFrame, asked: DataFrame) -> DataFrame:
+    """(exam_id, question_id, letra, segundos): every question of every exam with its last answer, nulls if there is none.
+
+    The questions of an exam are those of ``asked`` (exam_id, question_id) and those that were answered in it. Both meet in
+    one aggregate, combined before the shuffle, so neither a hot exam nor a hot question is one task's work.
+    """
+    columns = ("exam_id", "question_id", "letra", "segundos", "respondida_at", "respuesta_id")
+    answers = respuestas.where(F.col("exam_id").isNotNull() & F.col("question_id").isNotNull()).select(*columns, F.lit(1).alias("_a"))
+    empty = {f.name: f.dataType for f in respuestas.schema.fields}
+    rest = asked.select("exam_id", "question_id", *(F.lit(None).cast(empty[c]).alias(c) for c in columns[2:]), F.lit(0).alias("_a"))
+    last = answers.unionByName(rest).groupBy("exam_id", "question_id").agg(F.max_by(F.struct("letra", "segundos"), F.struct("_a", "respondida_at", "respuesta_id")).alias("_l"))
+    return last.select("exam_id", "question_id", "_l.letra", "_l.segundos")
+
 
+def exams(entregas: DataFrame) -> DataFrame:
+    """(exam_id, tipo_examen): every exam once, of the smallest type if its rows differ."""
+    return entregas.where(F.col("exam_id").isNotNull()).groupBy("exam_id").agg(F.min("tipo_examen").alias("tipo_examen"))
 
-def graded(respuestas: DataFrame, preguntas: DataFrame, entregas: DataFrame) -> DataFrame:
-    """Answers with their question and whether they are right; unknown exams and questions are left out.
 
-    (exam_id, question_id, letra, segundos, tipo_examen, categoria, respuesta_correcta, opciones, enunciado, es_correcta).
-    Of repeated exams and questions one row counts. Hot exams and questions are met by broadcast.
+def graded(respuestas: DataFrame, preguntas: DataFrame, entregas: DataFrame, texts: bool = False) -> DataFrame:
+    """Every question of every exam with its last answer and whether that is right; a question without an answer is wrong.
+
+    (exam_id, question_id, letra, segundos, tipo_examen, categoria, respuesta_correcta, es_correcta), with ``texts`` also
+    opciones and enunciado. Unknown exams and questions are left out; of repeated ones one row counts (the first by ``num``).
+    The questions of an exam are ``exam_questions`` and all that were answered in it: what else it may have asked is not in
+    the tables. A hot question is left to the adaptive skew join, which splits it.
     """
-    questions = preguntas.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct("categoria", "respuesta_correcta", "opciones", "enunciado"), "num").alias("_q")).select(F.col("id").alias("question_id"), "_q.*")
-    exams = entregas.where(F.col("exam_id").isNotNull()).groupBy("exam_id").agg(F.min("tipo_examen").alias("tipo_examen"))
-    rows = split_join(last_answers(respuestas), exams, "exam_id", "inner", counted=respuestas.select("exam_id"))
-    rows = split_join(rows, questions, "question_id", "inner", counted=respuestas.select("question_id"))
-    return rows.withColumn("es_correcta", A.right(F.col("letra"), F.col("respuesta_correcta")))
+    kept = ("categoria", "respuesta_correcta", *(("opciones", "enunciado") if texts else ()))
+    questions = preguntas.where(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(F.struct(*kept), "num").alias("_q")).select(F.col("id").alias("question_id"), "_q.*")
+    rows = exam_rows(respuestas, exam_questions(preguntas, entregas)).join(questions, "question_id").join(exams(entregas), "exam_id")
+    first = ("exam_id", "question_id", "letra", "segundos", "tipo_examen")
+    return rows.select(*first, *kept).withColumn("es_correcta", A.right(F.col("letra"), F.col("respuesta_correcta")))
 
 
 def question_results(g: DataFrame) -> DataFrame:
-    """One row per graded question, with texts of the given and of the right answers."""
+    """One row per question of ``graded(texts=True)``, with the texts of the given and of the right answers.
+
+    ``texto_respuesta`` is null if the letter, as it was given, is no option; ``texto_correcta`` says so in words. ``opciones``
+    and ``textos_correctas`` are written as "letter: text" in the order of the letters, joined by " | ".
+    """
     key = A.accepted(F.col("respuesta_correcta"))
     first = F.try_element_at(key, F.lit(1))
     return g.select(
         "exam_id",
         "question_id",
         "letra",
-        F.when(~text.blank(F.col("letra")), A.option_text(F.col("opciones"), F.col("letra"))).alias("texto_respuesta"),
+        F.try_element_at("opciones", F.col("letra")).alias("texto_respuesta"),
         F.array_join(key, ",").alias("letras_correctas"),
         first.alias("letra_correcta"),
         A.option_text(F.col("opciones"), first).alias("texto_correcta"),
         F.size(A.accepted_texts(F.col("opciones"), F.col("respuesta_correcta"))).alias("opciones_correctas"),
+        A.written(A.accepted_texts(F.col("opciones"), F.col("respuesta_correcta"))).alias("textos_correctas"),
         A.voided(F.col("respuesta_correcta")).alias("anulada"),
         "es_correcta",
         "categoria",
+        "enunciado",
+        A.written(F.col("opciones")).alias("opciones"),
     )
 
 
-def exam_summary(g: DataFrame, pass_mark: float = 65.0) -> DataFrame:
-    """(exam_id, correctas, total, puntuacion, porcentaje, aprobado): the mark is held against the unrounded share."""
+def exam_summary(g: DataFrame, all_exams: DataFrame, pass_mark: float = 65.0) -> DataFrame:
+    """(exam_id, tipo_examen, correctas, total, puntuacion, porcentaje, aprobado) of all exams.
+
+    One without questions has 0/0, 0 percent, and is not passed. The mark is held against the unrounded share.
+    """
+    per = g.groupBy("exam_id").agg(F.count_if("es_correcta").alias("_k"), F.count(F.lit(1)).alias("_n"))
+    rows = all_exams.select("exam_id", "tipo_examen").join(per, "exam_id", "left")
+    rows = rows.select("exam_id", "tipo_examen", F.coalesce("_k", F.lit(0)).alias("correctas"), F.coalesce("_n", F.lit(0)).alias("total"))
     k, n = F.col("correctas"), F.col("total")
-    per = g.groupBy("exam_id").agg(F.count_if("es_correcta").alias("correctas"), F.count(F.lit(1)).alias("total"))
-    return per.select("exam_id", "correctas", "total", N.fraction(k, n).alias("puntuacion"), N.percent(k, n).alias("porcentaje"), (N.share(k, n) >= pass_mark).alias("aprobado"))
+    passed = (n > 0) & (N.share(k, n) >= pass_mark)
+    return rows.select("*", N.fraction(k, n).alias("puntuacion"), N.percent(k, n).alias("porcentaje"), passed.alias("aprobado"))
 
 
 def by_category(g: DataFrame) -> DataFrame:
@@ -92,56 +130,95 @@ def by_category(g: DataFrame) -> DataFrame:
     return per.withColumn("porcentaje", N.percent(F.col("correctas"), F.col("total")))
 
 
-def checked(g: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every rule (orden, categoria, nombre, minimo) held against every exam; a missing category scores 0 of 0.
+#: The category of the rule that counts all questions.
+TOTAL = "total"
+#: Kinds of exam that are passed by rules; all others are passed by their share.
+BY_RULES = ("simulacro", "especifico")
+# The reasons as they are worded.
+REASON_TOTAL = "No alcanza el mínimo de {} respuestas correctas (obtenidas: {})"
+REASON_CATEGORY = "No alcanza el mínimo en {}: {}/{} (mínimo requerido: {})"
+REASON_SHARE = "No alcanza el porcentaje mínimo de {}% (obtenido: {}%)"
 
-    (exam_id, orden, categoria, nombre, correctas, total, minimo, cumplido). Rules are few: each exam's right answers are
-    collected per rule in one aggregate, without joining exams and rules.
+
+def checked(g: DataFrame, rules: DataFrame, by_rules: tuple[str, ...] = BY_RULES) -> DataFrame:
+    """Every rule (orden, categoria, nombre, minimo) held against every exam that is passed by rules and has questions.
+
+    (exam_id, orden, categoria, nombre, correctas, total, minimo, cumplido, avance, marca). The rule of the category TOTAL
+    counts all questions; a category without any scores 0 of 0. ``avance`` and ``marca`` are the right answers and the minimum
+    as percent of the questions, 0 if there are none. Each exam's counts are folded into one map by its categories and
+    the table of rules is one array, so exams and rules are not joined and nothing reaches the driver.
     """
-    rule_rows = sorted((r["orden"], r["categoria"], r["nombre"], r["minimo"]) for r in rules.limit(1001).collect())
-    if len(rule_rows) > 1000:
-        raise ValueError("more than 1000 rules")
-    aggs = []
-    for i, (_, c, _, _) in enumerate(rule_rows):
-        mine = F.coalesce(F.col("categoria") == F.lit(c), F.lit(False))
-        aggs += [F.count_if(mine & F.col("es_correcta")).alias(f"_k{i}"), F.count_if(mine).alias(f"_n{i}")]
-    per = g.groupBy("exam_id").agg(F.count(F.lit(1)).alias("_all"), *aggs)
-    rows = [F.struct(F.lit(o).alias("orden"), F.lit(c).alias("categoria"), F.lit(name).alias("nombre"), F.col(f"_k{i}").alias("correctas"), F.col(f"_n{i}").alias("total"), F.lit(m).alias("minimo")) for i, (o, c, name, m) in enumerate(rule_rows)]
-    return per.select("exam_id", F.inline(F.array(*rows))).withColumn("cumplido", F.col("correctas") >= F.col("minimo"))
-
-
-def verdicts(checks: DataFrame) -> DataFrame:
-    """(exam_id, cumplidos, requisitos, aprobado, motivos): passed if no rule failed; reasons in the rules' order, null if none."""
-    reason = F.concat(F.col("nombre"), F.lit(": "), N.fraction(F.col("correctas"), F.col("total")), F.lit(" < "), F.col("minimo").cast("string"))
+    rows = g.where(F.col("tipo_examen").isin(list(by_rules)))
+    per = rows.groupBy("exam_id", "categoria").agg(F.count_if("es_correcta").alias("k"), F.count(F.lit(1)).alias("n"))
+    named = F.when(F.col("categoria").isNotNull() & (F.col("categoria") != TOTAL), F.struct("categoria", F.struct("k", "n")))
+    folded = per.groupBy("exam_id").agg(F.sum("k").alias("_k"), F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(named)).alias("_c"))  # one entry per category
+    table = rules.select(F.array_sort(F.collect_list(F.struct("orden", "categoria", "nombre", "minimo")))).scalar()
+    each = folded.withColumn("_r", F.explode(table)).select("exam_id", "_k", "_n", F.try_element_at("_c", F.col("_r.categoria")).alias("_m"), "_r.*")
+    whole = F.col("categoria") == TOTAL
+    count = lambda all_, one: F.when(whole, F.col(all_)).otherwise(F.coalesce(F.col(f"_m.{one}"), F.lit(0)))
+    each = each.select("exam_id", "orden", "categoria", "nombre", count("_k", "k").alias("correctas"), count("_n", "n").alias("total"), "minimo")
+    progress = {"avance": N.percent(F.col("correctas"), F.col("total")), "marca": N.percent(F.col("minimo"), F.col("total"))}
+    return each.withColumn("cumplido", F.col("correctas") >= F.col("minimo")).withColumns(progress)
+
+
+def verdicts(summary: DataFrame, checks: DataFrame, by_rules: tuple[str, ...] = BY_RULES, pass_mark: float = 65.0) -> DataFrame:
+    """(exam_id, por_reglas, cumplidos, requisitos, aprobado, motivos) of every exam of ``exam_summary``.
+
+    By rules: passed if no rule failed, with a reason for each that did, in the rules' order. Other kinds: passed by their
+    share. Reasons are joined by "; ", null if there are none. An exam without questions is not passed and has no reasons.
+    """
+    write = lambda form, *values: F.format_string(form.replace("{}", "%s"), *(v.cast("string") for v in values))
+    k, n, m = F.col("correctas"), F.col("total"), F.col("minimo")
+    reason = F.when(F.col("categoria") == TOTAL, write(REASON_TOTAL, m, k)).otherwise(write(REASON_CATEGORY, F.col("nombre"), k, n, m))
     per = checks.groupBy("exam_id").agg(
-        F.count_if("cumplido").alias("cumplidos"),
-        F.count(F.lit(1)).alias("requisitos"),
-        F.bool_and("cumplido").alias("aprobado"),
-        F.collect_list(F.when(~F.col("cumplido"), F.struct("orden", reason.alias("m")))).alias("_m"),  # one per rule at most
+        F.count_if("cumplido").alias("_ok"),
+        F.count(F.lit(1)).alias("_all"),
+        F.array_sort(F.collect_list(F.when(~F.col("cumplido"), F.struct("orden", reason.alias("m"))))).alias("_m"),  # one per rule at most
     )
-    reasons = F.array_join(F.transform(F.array_sort("_m"), lambda x: x["m"]), "; ")
-    return per.select("exam_id", "cumplidos", "requisitos", "aprobado", F.when(F.size("_m") > 0, reasons).alias("motivos"))
+    rows = summary.join(per, "exam_id", "left")
+    ruled = F.coalesce(F.col("tipo_examen").isin(list(by_rules)), F.lit(False))
+    low = F.format_string(REASON_SHARE.replace("%", "%%").replace("{}", "%s"), F.lit(str(float(pass_mark))), N.one_decimal(N.share(k, n)))
+    reasons = F.when(ruled, F.when(F.size("_m") > 0, F.array_join(F.transform("_m", lambda x: x["m"]), "; "))).otherwise(F.when((n > 0) & ~F.col("aprobado"), low))
+    passed = F.when(ruled, (n > 0) & (F.coalesce("_ok", F.lit(0)) == F.coalesce("_all", F.lit(0)))).otherwise(F.col("aprobado"))
+    return rows.select("exam_id", ruled.alias("por_reglas"), F.coalesce("_ok", F.lit(0)).alias("cumplidos"), F.coalesce("_all", F.lit(0)).alias("requisitos"), passed.alias("aprobado"), reasons.alias("motivos"))
+
+
+def result_documents(g: DataFrame, all_exams: DataFrame, pass_mark: float = 65.0) -> DataFrame:
+    """(exam_id, value): each exam's result as one JSON document, with its summary and its categories.
+
+    The categories of an exam are collected into one array: as many as the bank has.
+    """
+    per = by_category(g).groupBy("exam_id").agg(F.array_sort(F.collect_list(F.struct("categoria", "correctas", "total", "porcentaje"))).alias("categorias"))
+    rows = exam_summary(g, all_exams, pass_mark).join(per, "exam_id", "left").withColumn("categorias", F.coalesce("categorias", F.array().cast(per.schema["categorias"].dataType)))
+    return rows.select("exam_id", F.to_json(F.struct("exam_id", "puntuacion", "porcentaje", "aprobado", "categorias")).alias("value"))
+
+
+def _marked(g: DataFrame, helped: DataFrame) -> DataFrame:
+    rows = helped.select("exam_id", "question_id").distinct().withColumn("_h", F.lit(True))
+    return g.join(rows, ["exam_id", "question_id"], "left").withColumn("_h", F.col("_h").isNotNull())
 
 
 def help_usage(g: DataFrame, helped: DataFrame) -> DataFrame:
     """(exam_id, sin_ayuda, con_ayuda, incorrectas): right answers by whether (exam_id, question_id) is among ``helped``."""
-    marked = g.join(helped.select("exam_id", "question_id").distinct().withColumn("_h", F.lit(True)), ["exam_id", "question_id"], "left")
-    h = F.col("_h").isNotNull()
-    return marked.groupBy("exam_id").agg(F.count_if(F.col("es_correcta") & ~h).alias("sin_ayuda"), F.count_if(F.col("es_correcta") & h).alias("con_ayuda"), F.count_if(~F.col("es_correcta")).alias("incorrectas"))
+    right, h = F.col("es_correcta"), F.col("_h")
+    return _marked(g, helped).groupBy("exam_id").agg(F.count_if(right & ~h).alias("sin_ayuda"), F.count_if(right & h).alias("con_ayuda"), F.count_if(~right).alias("incorrectas"))
 
 
 def unanswered(g: DataFrame) -> DataFrame:
-    """(exam_id, sin_responder, total) of exams with blank answers."""
+    """(exam_id, sin_responder, total) of exams with questions whose answer is blank or was never given."""
     per = g.groupBy("exam_id").agg(F.count_if(text.blank(F.col("letra"))).alias("sin_responder"), F.count(F.lit(1)).alias("total"))
     return per.where("sin_responder > 0")
 
 
-def option_marks(g: DataFrame) -> DataFrame:
-    """One row per option of every graded question: whether it is right, and whether it was chosen wrongly."""
+def option_marks(g: DataFrame, helped: DataFrame) -> DataFrame:
+    """One row per option of every question of ``graded(texts=True)``: (exam_id, question_id, opcion, correcta, mal_elegida, ayudada).
+
+    An option was chosen if the answer is its letter as it stands. ``ayudada``: chosen, in a question that is among ``helped``.
+    """
     key = A.accepted(F.col("respuesta_correcta"))
-    rows = g.select("exam_id", "question_id", F.lower("letra").alias("_l"), key.alias("_k"), "es_correcta", F.explode("opciones").alias("opcion", "texto"))
-    chosen = F.coalesce(F.col("_l") == F.col("opcion"), F.lit(False))
-    return rows.select("exam_id", "question_id", "opcion", F.array_contains("_k", F.col("opcion")).alias("correcta"), (chosen & ~F.col("es_correcta")).alias("mal_elegida"))
+    rows = _marked(g, helped).select("exam_id", "question_id", "letra", "_h", key.alias("_k"), "es_correcta", F.explode("opciones").alias("opcion", "texto"))
+    chosen = F.coalesce(F.col("letra") == F.col("opcion"), F.lit(False))
+    return rows.select("exam_id", "question_id", "opcion", F.array_contains("_k", F.col("opcion")).alias("correcta"), (chosen & ~F.col("es_correcta")).alias("mal_elegida"), (chosen & F.col("_h")).alias("ayudada"))
 
 
 def masked(rows: DataFrame, kind: Column, shown: tuple[str, ...] = ("normal", "per")) -> DataFrame:

@@ -43,7 +43,7 @@ def flat_exam(questions: DataFrame, n: int, exam_id: str, kind: str, seed: str |
     got = drawn.count()
     if got < n:
         raise ValueError(f"only {got} of {n} questions have distinct content")
-    rows = questions.join(F.broadcast(drawn), "num")
+    rows = questions.select("num", "enunciado", "opciones", "respuesta_correcta", "categoria").join(F.broadcast(drawn), "num").dropDuplicates(["num"])  # n rows
     key = F.col("respuesta_correcta") if kind in ("normal", "per") else F.lit(None).cast("string")
     return rows.select(F.concat(F.lit(f"{exam_id}_q"), F.col("posicion").cast("string")).alias("id"), "posicion", "enunciado", "opciones", key.alias("respuesta_correcta"), "categoria").orderBy("posicion")
 
@@ -51,8 +51,8 @@ def flat_exam(questions: DataFrame, n: int, exam_id: str, kind: str, seed: str |
 def quota_exam(questions: DataFrame, quotas: dict[int, int], seed: str | int = 42, id_col: str = "num") -> DataFrame:
     """(cat, id_col, posicion): for every category as many questions as its quota, of contents distinct within it.
 
-    Categories are read as whole numbers; others are passed over. Each task keeps no more rows of a category than the
-    largest quota before anything is shuffled.
+    Categories are read as whole numbers; others are passed over. Contents are grouped first; of what is left, each task keeps
+    no more rows of a category than the largest quota before they are ranked.
     """
     rows = questions.withColumn("cat", F.col("categoria").try_cast("int")).where(F.col("cat").isin(list(quotas)))
     unique = distinct_contents(rows, seeded_key(seed, F.col(id_col)), ["cat"], id_col)
@@ -72,20 +72,34 @@ def feasibility(questions: DataFrame, quotas: dict[int, int]) -> DataFrame:
     return got.select("cat", "cuota", "preguntas", "contenidos", state.alias("estado"))
 
 
+def mock_exam(questions: DataFrame, quotas: dict[int, int], exam_id: str, seed: str | int = 42) -> DataFrame:
+    """A mock exam as its rows: (id, posicion, num, cat, enunciado, opciones), categories in order, without answer keys.
+
+    Raises ValueError, with different texts, if a category has fewer questions than its quota, or fewer distinct contents.
+    The quotas are checked first, in one small aggregate.
+    """
+    for r in feasibility(questions, quotas).where("estado <> 'ok'").orderBy("cat").collect():  # one row per quota at most
+        if r["estado"] == "faltan_preguntas":
+            raise ValueError(f"category {r['cat']} has {r['preguntas']} of {r['cuota']} questions")
+        raise ValueError(f"category {r['cat']} has only {r['contenidos']} of {r['cuota']} questions of distinct content")
+    drawn = quota_exam(questions, quotas, seed)
+    rows = questions.select("num", "enunciado", "opciones").join(F.broadcast(drawn), "num").dropDuplicates(["cat", "num"])  # as many rows as the quotas say
+    return rows.select(F.concat(F.lit(f"{exam_id}_q"), F.col("posicion").cast("string")).alias("id"), "posicion", "num", "cat", "enunciado", "opciones").orderBy("posicion")
+
+
 def specific_exam(questions: DataFrame, key: str, exam_id: str) -> DataFrame:
     """The questions of the exam named by ``key``, in their order (null numbers first), renumbered, without answer keys.
 
     Raises ValueError, with different texts, for a key of another form, for a year that is no number, and for no rows.
     """
-    parts = key.split("_")
-    if len(parts) != 4:
+    named = questions.sparkSession.range(1).select(text.parsed_key(F.lit(key)).alias("k")).first()["k"]
+    if named["estado"] == "formato":
         raise ValueError(f"{key!r} is not of the form community_year_call_test")
-    try:
-        year = int(parts[1])
-    except ValueError:
-        raise ValueError(f"{parts[1]!r} is no year") from None
-    community = parts[0][:1].upper() + parts[0][1:].lower()
-    rows = questions.where((F.col("community") == community) & (F.col("anio") == year) & (F.col("convocatoria") == parts[2]) & (F.col("test_code") == parts[3]))
+    if named["estado"] == "anio":
+        raise ValueError(f"the second part of {key!r} is no year")
+    rows = questions
+    for part in ("community", "anio", "convocatoria", "test_code"):
+        rows = rows.where(F.col(part) == F.lit(named[part]))
     if rows.limit(1).count() == 0:
         raise ValueError(f"no questions for {key!r}")
     place = F.row_number().over(Window.orderBy(F.coalesce("numero_pregunta", F.lit(0)), "num"))  # one exam

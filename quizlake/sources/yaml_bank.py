@@ -3,7 +3,8 @@
 Files are found below a folder, one partition each, without those that are backups by their names. Two dialects are read:
 categories of questions under a header (``exam_info``, ``categories``), and plain lists (``metadata``, ``preguntas``). A file
 that is broken, of another form, or with one faulty record gives no rows; with ``option("errors", "true")`` the reader gives
-one row per file instead: its path, number of rows and what was wrong.
+one row per file instead: its path, number of rows, the number of questions its header expects (null if it names none) and
+what was wrong.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ SCHEMA = (
     "total_questions int, community string, anio int, convocatoria string, test_code string, comunidad_autonoma string, "
     "categoria string, categoria_nombre string, numero_pregunta int, archivo string, ordinal int"
 )
-ERRORS = "archivo string, filas int, error string"
+ERRORS = "archivo string, filas int, esperadas int, error string"
 # What a header lacks is taken to be.
 DEFAULTS = {"title": "EXAMEN DE PATRÓN DE EMBARCACIONES DE RECREO", "subtitle": "Código de Test", "total_questions": 45, "community": "Madrid", "year": 2025, "call": "Ordinaria", "test_code": "Test01"}
 BACKUP = ("backup", "bk_", ".bak")
@@ -79,17 +80,27 @@ def rows_of(content: object, path: str) -> list[tuple]:
     return out
 
 
-def read_file(path: str) -> tuple[list[tuple], str | None]:
-    """(rows, what was wrong); all rows of a file or none."""
+def expected(content: object) -> int | None:
+    """The number of questions that a parsed file's header expects; None if it says nothing of the kind."""
+    head = content.get("exam_info") if isinstance(content, dict) else None
+    number = head.get("expected_questions") if isinstance(head, dict) else None
+    return number if isinstance(number, int) and not isinstance(number, bool) else None
+
+
+def read_file(path: str) -> tuple[list[tuple], int | None, str | None]:
+    """(rows, expected number of rows, what was wrong); all rows of a file or none."""
     try:
         import yaml
     except ImportError as e:
         raise RuntimeError("reading exam files needs PyYAML") from e
+    wanted = None
     try:
         with open(path, encoding="utf-8") as f:
-            return rows_of(yaml.safe_load(f), path), None
+            content = yaml.safe_load(f)
+        wanted = expected(content)
+        return rows_of(content, path), wanted, None
     except (OSError, UnicodeDecodeError, yaml.YAMLError, ValueError, KeyError, TypeError, AttributeError) as e:
-        return [], f"{type(e).__name__}: {e}"[:500]
+        return [], wanted, f"{type(e).__name__}: {e}"[:500]
 
 
 class _File(InputPartition):
@@ -113,9 +124,9 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
-        rows, wrong = read_file(partition.path)
+        rows, wanted, wrong = read_file(partition.path)
         if self.errors:
-            yield (partition.path, len(rows), wrong)
+            yield (partition.path, len(rows), wanted, wrong)
         else:
             yield from rows
 

@@ -80,17 +80,87 @@ def test_catalogue(spark, folders):
         bank.refuse_unknown(e, ["Galicia", "Atlantis"])
 
 
-def test_grading(spark):
-    q = spark.createDataFrame([(1, "q1", "5", "a", {"a": "x", "b": "y"}, "e"), (2, "q2", "5", "anulada", {"a": "x"}, "e"), (3, "q3", None, "a,b", {"a": "x"}, "e")], "num long, id string, categoria string, respuesta_correcta string, opciones map<string,string>, enunciado string")
+BANK = "num long, id string, categoria string, respuesta_correcta string, opciones map<string,string>, enunciado string, exam_identifier string, numero_pregunta int"
+ANSWERS = "respuesta_id long, exam_id string, question_id string, letra string, respondida_at timestamp_ntz, segundos int"
+SENT = "exam_id string, tipo_examen string, exam_identifier string, num_preguntas int"
+
+
+def small_exams(spark):
+    q = [(1, "q1", "5", "a", {"a": "x", "b": "y"}, "e", "x1", 1), (2, "q2", "5", "anulada", {"a": "x"}, "e", "x1", 2), (3, "q3", None, "a,b", {"a": "x"}, "e", "x1", 3), (4, "q4", "6", "a", {"a": "x"}, "e", "x1", 4), (5, "q4b", "6", "a", {}, "e", "x1", 4), (6, "q5", "6", "a", None, "e", "x1", 5)]
     t = datetime(2024, 1, 1)
-    a = spark.createDataFrame([(1, "e", "q1", "b", t, 1), (2, "e", "q1", "A", t, 1), (3, "e", "q2", "z", t, 1), (4, "e", "q3", None, t, 1), (5, "e", "qx", "a", t, 1)], "respuesta_id long, exam_id string, question_id string, letra string, respondida_at timestamp_ntz, segundos int")
-    g = grade.graded(a, q, spark.createDataFrame([("e", "per"), ("e", "per")], "exam_id string, tipo_examen string"))
-    s = grade.exam_summary(g).first()
+    a = [(1, "e", "q1", "b", t, 1), (2, "e", "q1", "A", t, 1), (3, "e", "q2", "z", t, 100), (4, "e", "q3", None, t, 1), (5, "e", "qx", "a", t, 1), (6, "s", "q1", "a", t, 1), (7, "nobody", "q1", "a", t, 1)]
+    sent = [("e", "per", None, 3), ("e", "per", None, 3), ("s", "especifico", "x1", 4), ("none", "per", None, 0)]
+    return spark.createDataFrame(a, ANSWERS), spark.createDataFrame(q, BANK), spark.createDataFrame(sent, SENT)
+
+
+def test_grading(spark):
+    a, q, sent = small_exams(spark)
+    g = grade.graded(a, q, sent, texts=True)
+    found = {r["exam_id"]: r for r in grade.exam_summary(g, grade.exams(sent)).collect()}
+    s = found["e"]
     assert (s["correctas"], s["total"], s["puntuacion"], s["porcentaje"], s["aprobado"]) == (2, 3, "2/3", 66.67, True)
-    assert [(r["categoria"], r["total"]) for r in grade.by_category(g).collect()] == [("5", 2)]
-    rules = spark.createDataFrame([(1, "5", "Balizas", 2), (2, "7", "Otra", 1)], "orden int, categoria string, nombre string, minimo int")
-    v = grade.verdicts(grade.checked(g, rules)).first()
-    assert (v["cumplidos"], v["aprobado"], v["motivos"]) == (1, False, "Otra: 0/0 < 1")
+    # Four questions of the named exam, one answered: the others are wrong. An exam without questions has 0 of 0.
+    assert (found["s"]["puntuacion"], found["s"]["porcentaje"], found["s"]["aprobado"]) == ("1/4", 25.0, False)
+    assert (found["none"]["puntuacion"], found["none"]["porcentaje"], found["none"]["aprobado"]) == ("0/0", 0.0, False) and len(found) == 3
+    assert {(r["exam_id"], r["categoria"], r["correctas"], r["total"]) for r in grade.by_category(g).collect()} == {("e", "5", 2, 2), ("s", "5", 1, 2), ("s", "6", 0, 1)}
+    assert {tuple(r) for r in grade.unanswered(g).collect()} == {("e", 1, 3), ("s", 3, 4)}
+    texts = {(r["exam_id"], r["question_id"]): r for r in grade.question_results(g).collect()}
+    assert texts["e", "q1"]["letra"] == "A" and texts["e", "q1"]["texto_respuesta"] is None and texts["e", "q2"]["texto_respuesta"] is None
+    assert texts["s", "q1"]["texto_respuesta"] == "x" and texts["s", "q2"]["textos_correctas"] == "a: x" and texts["s", "q1"]["opciones"] == "a: x | b: y"
+    marks = {(r["question_id"], r["opcion"]): (r["correcta"], r["mal_elegida"], r["ayudada"]) for r in grade.option_marks(g, a.where("segundos > 0 and exam_id = 's'")).where("exam_id = 's'").collect()}
+    assert marks["q1", "a"] == (True, False, True) and marks["q1", "b"] == (False, False, False) and marks["q2", "a"] == (True, False, False)
+
+
+def test_rules_and_reasons(spark):
+    a, q, sent = small_exams(spark)
+    g = grade.graded(a, q, sent)
+    rules = spark.createDataFrame([(0, "total", "Total", 1), (1, "5", "Balizas", 2), (2, "7", "Otra", 1)], "orden int, categoria string, nombre string, minimo int")
+    checks = grade.checked(g, rules)
+    assert {(r["exam_id"], r["categoria"]): (r["correctas"], r["total"], r["cumplido"], r["avance"], r["marca"]) for r in checks.collect()} == {("s", "total"): (1, 4, True, 25.0, 25.0), ("s", "5"): (1, 2, False, 50.0, 100.0), ("s", "7"): (0, 0, False, 0.0, 0.0)}
+    v = {r["exam_id"]: r for r in grade.verdicts(grade.exam_summary(g, grade.exams(sent), 70), checks, pass_mark=70).collect()}
+    assert (v["s"]["por_reglas"], v["s"]["cumplidos"], v["s"]["requisitos"], v["s"]["aprobado"]) == (True, 1, 3, False)
+    assert v["s"]["motivos"] == "No alcanza el mínimo en Balizas: 1/2 (mínimo requerido: 2); No alcanza el mínimo en Otra: 0/0 (mínimo requerido: 1)"
+    assert v["e"]["motivos"] == "No alcanza el porcentaje mínimo de 70.0% (obtenido: 66.7%)" and not v["e"]["aprobado"]
+    assert v["none"]["motivos"] is None and not v["none"]["aprobado"]
+    total = grade.verdicts(grade.exam_summary(g, grade.exams(sent)), grade.checked(g, rules.where("orden = 0").withColumn("minimo", F.lit(2))))
+    assert {r["exam_id"]: r["motivos"] for r in total.collect()}["s"] == "No alcanza el mínimo de 2 respuestas correctas (obtenidas: 1)"
+
+
+def test_grading_reads_no_texts_and_runs_nothing_early(spark, folders):
+    a, q, sent = (table(spark, folders["plain"], t) for t in ("respuestas", "preguntas", "entregas"))  # reading a schema is a job
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "plans")
+    got = grade.exam_summary(grade.graded(a, q, sent), grade.exams(sent))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plans")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not jobs
+    assert "enunciado" not in plan and "opciones" not in plan
+
+
+def test_audit_of_exams(spark):
+    quotas = {1: 2, 2: 1}
+    opts = {c: c for c in "abcd"}
+    rows = [(1, "x", 1, "1", "a", opts), (2, "x", 2, "1", "b", opts), (3, "x", 3, "2", "c", opts), (4, "y", 1, "1", "e", opts), (5, "y", 1, "2", "a", {"a": "x"}), (6, None, 1, "1", "a", opts)]
+    q = spark.createDataFrame([(*r, "texto") for r in rows], "num long, exam_identifier string, numero_pregunta int, categoria string, respuesta_correcta string, opciones map<string,string>, enunciado string")
+    files = spark.createDataFrame([("x", 3), ("y", None), ("leer", 3)], "exam_identifier string, esperadas int")
+    audited = audit.per_exam(q, files, quotas)
+    got = {r["exam_identifier"]: tuple(r)[1:] for r in audited.collect()}
+    assert got["x"] == ("ok", 3, 3, True, True, True, True, True) and got["y"] == ("ok", 45, 2, False, False, False, True, False) and got["leer"][:3] == ("error", 3, 0)
+    assert {r["regla"]: (r["validos"], r["examenes"], r["tasa"]) for r in audit.rates(audited).collect()} == {"distribucion": (1, 3, 33.3), "opciones": (1, 3, 33.3), "respuestas": (1, 3, 33.3), "estructura": (2, 3, 66.7), "numeros": (1, 3, 33.3)}
+    assert tuple(audit.gate(audited).first()) == (1, 5, False)
+    lines = {(r["seccion"], r["exam_identifier"], r["linea"]) for r in audit.report(q, audited, quotas).collect()}
+    assert ("error", "leer", "sin preguntas") in lines and ("distribucion", "y", "categoria 1: 1 de 2 (-1)") in lines and ("opciones", "y", "2 | 1 | a | faltan") in lines
+    assert ("respuestas", "y", "1 | 1 | e | a, b, c, d | desconocida") in lines and ("numeros", "y", "1 | 2 veces | 1,2") in lines
+
+
+def test_mock_exam_and_its_errors(spark):
+    q = spark.createDataFrame([(i, f"t{i if i < 6 else 6}", {"a": "x"}, "1" if i < 6 else "2") for i in range(12)], "num long, enunciado string, opciones map<string,string>, categoria string")
+    got = sample.mock_exam(q, {1: 3, 2: 1}, "simulacro_1").collect()
+    assert [r["id"] for r in got] == [f"simulacro_1_q{i}" for i in range(1, 5)] and [r["cat"] for r in got] == [1, 1, 1, 2] and "respuesta_correcta" not in got[0].asDict()
+    with pytest.raises(ValueError, match="has 6 of 7 questions"):
+        sample.mock_exam(q, {1: 7}, "s")
+    with pytest.raises(ValueError, match="only 1 of 3 questions of distinct"):
+        sample.mock_exam(q, {2: 3}, "s")
 
 
 def test_audit_kinds(spark):
@@ -154,9 +224,10 @@ def test_submissions_as_json(spark):
 
 
 def test_result_documents(spark, folders):
-    g = grade.graded(*(table(spark, folders["plain"], t) for t in ("respuestas", "preguntas", "entregas")))
-    got = [json.loads(r["value"]) for r in grade.result_documents(g).collect()]
-    assert got and all(sum(c["total"] for c in d["categorias"]) <= int(d["puntuacion"].split("/")[1]) for d in got)
+    sent = table(spark, folders["plain"], "entregas")
+    g = grade.graded(*(table(spark, folders["plain"], t) for t in ("respuestas", "preguntas")), sent)
+    got = [json.loads(r["value"]) for r in grade.result_documents(g, grade.exams(sent)).collect()]
+    assert len(got) == 5 and all(sum(c["total"] for c in d["categorias"]) <= int(d["puntuacion"].split("/")[1]) for d in got)
 
 
 def test_repeat_report_changes_its_form(spark):

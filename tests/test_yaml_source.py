@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 yaml = pytest.importorskip("yaml")
 
+from quizlake.operators import audit  # noqa: E402
 from quizlake.sources import yaml_bank  # noqa: E402
 
-GOOD = {"exam_info": {"title": "T", "community": "Murcia", "year": 2021, "call": "abril"}, "categories": {1: {"name": "Uno", "questions": [{"id": 7, "question": "¿q?", "options": {"a": "x", "b": "y"}, "correct_answer": "ANULADA"}, {"question": "sin id", "options": {"a": "x"}}]}, 2: {"questions": []}}}
+GOOD = {"exam_info": {"title": "T", "community": "Murcia", "year": 2021, "call": "abril", "expected_questions": 2}, "categories": {1: {"name": "Uno", "questions": [{"id": 7, "question": "¿q?", "options": {"a": "x", "b": "y"}, "correct_answer": "ANULADA"}, {"question": "sin id", "options": {"a": "x"}}]}, 2: {"questions": []}}}
 PLAIN = {"metadata": {"exam_type": "per"}, "preguntas": [{"id": "p1", "enunciado": "e", "opciones": {}, "respuesta_correcta": "a", "metadata": {"title": "T", "subtitle": "S", "total_questions": 45, "community": "C", "year": 2020, "call": "x", "test_code": "01", "categoria": "3"}}]}
 
 
@@ -49,6 +50,14 @@ def test_errors_and_fallback(spark, folder, tmp_path):
     assert spark.read.format("exam_yaml").option("fallback", folder + "/a").load(folder + "/none").count() == 2
 
 
+def test_audit_of_files(spark, folder):
+    questions, audited = audit.files(spark, folder, {1: 2, 3: 1})
+    got = {r["exam_identifier"].rpartition("/")[2]: (r["estado"], r["esperadas"], r["preguntas"], r["distribucion_ok"], r["error"] is None) for r in audited.collect()}
+    assert got["good.yaml"] == ("ok", 2, 2, False, True) and got["plain.yaml"] == ("ok", 45, 1, False, True)
+    assert all(got[f][0] == "error" and got[f][2] == 0 for f in ("broken.yaml", "other.yaml", "list.yaml", "faulty.yaml")) and not got["broken.yaml"][4] and got["list.yaml"][4]
+    assert audit.gate(audited).first()["errores"] == 4 and questions.count() == 3
+
+
 def test_store_prunes_partitions(spark, folder, tmp_path):
     yaml_bank.store(spark, folder, str(tmp_path / "bank"))
     kept = spark.read.parquet(str(tmp_path / "bank")).where(F.col("community") == "Murcia")
