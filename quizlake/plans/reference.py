@@ -401,7 +401,7 @@ _GAPS = f"with q(cat, oficial) as (values {_QUOTA_ROWS(QUOTAS)}), x as (select d
 _NUMBERS = "select exam_identifier, numero_pregunta, count(*) as veces, coalesce(string_agg(distinct categoria, ',' order by categoria), '') as categorias from preguntas where exam_identifier is not null and numero_pregunta is not null group by exam_identifier, numero_pregunta having count(*) > 1"
 _PLACE = "coalesce(categoria, '-') || ' | ' || coalesce(cast(numero_pregunta as varchar), '-') || ' | '"
 _SHOWN_KEYS = f"case when len({_KEYS}) = 0 then 'ninguna' else array_to_string({_KEYS}, ', ') end"
-_ONE_ROW = "(select distinct on (num) * from preguntas order by num)"
+_ONE_ROW = "(select distinct on (num) num, enunciado, opciones, respuesta_correcta, categoria from preguntas order by num)"
 _FLAT = f"(select num, row_number() over (order by k, num) as posicion from (select * from {_UNIQUE('')} order by k, num limit 45))"
 _MOCK = f"(select cat, num, row_number() over (order by cat, rn) as posicion from (select u.kat as cat, num, row_number() over (partition by u.kat order by k, num) as rn, cuota from {_UNIQUE('kat,')} u join q on q.cat = u.kat) where rn <= cuota)"
 
