@@ -1,7 +1,8 @@
 """A Bloom filter as a table of blocks, built and probed with built-in expressions only.
 
 The filter has B blocks of 64 words of 64 bits. A key falls into one block and sets four bits in it. The table has one
-row per block that is not empty, so probing is a broadcast hash join on the block number: no Python, no driver.
+row per block that is not empty, so probing is a join on the block number: no Python, no driver. The join is a broadcast
+while the filter is small; a larger filter stays partitioned by blocks and the keys are shuffled to theirs.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 BITS_PER_KEY = 12
 BLOCK_BITS = 4096
 PROBES = 4
-#: The filter is broadcast only up to this size; beyond it callers go to the exact join at once.
+#: The filter is broadcast only up to this size; beyond it, keys meet its blocks in a shuffled join.
 MAX_BYTES = 64 << 20
 
 
@@ -47,13 +48,16 @@ def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     return filled.select("__bloom_block", F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS // 64 - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0))).alias("__bloom_words"))
 
 
-def probe(rows: DataFrame, key: str, filter_table: DataFrame, blocks: int, flag: str) -> DataFrame:
-    """``rows`` with the boolean column ``flag``: false if ``key`` is surely not in the filter. Null keys get false."""
+def probe(rows: DataFrame, key: str, filter_table: DataFrame, blocks: int, flag: str, whole: bool = True) -> DataFrame:
+    """``rows`` with the boolean column ``flag``: false if ``key`` is surely not in the filter. Null keys get false.
+
+    ``whole``: the filter is small enough to be broadcast (``fits``); else it is joined by its blocks.
+    """
     hit = F.lit(True)
     for bit in _bits(F.col(key)):
         hit = hit & _test(bit)
-    at = rows.withColumn("__bloom_at", _block(F.col(key), blocks))
-    out = at.join(F.broadcast(filter_table), F.col("__bloom_at") == F.col("__bloom_block"), "left")
+    at = rows.withColumn("__bloom_at", F.when(F.col(key).isNotNull(), _block(F.col(key), blocks)))
+    out = at.join(F.broadcast(filter_table) if whole else filter_table, F.col("__bloom_at") == F.col("__bloom_block"), "left")
     return out.withColumn(flag, F.coalesce(hit & F.col(key).isNotNull(), F.lit(False))).drop("__bloom_at", "__bloom_block", "__bloom_words")
 
 

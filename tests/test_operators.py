@@ -37,7 +37,7 @@ def test_bloom_filter_misses_nothing(spark):
     assert not bloom.fits(10**9)
 
 
-def test_orphans_without_filter_agree(spark, folders):
+def test_orphans_with_a_partitioned_filter_agree(spark, folders):
     p, r, e = (table(spark, folders["odd"], t) for t in ("preguntas", "respuestas", "entregas"))
     a = orphans.orphan_references(r, "question_id", p, "id", "respondida_at", "cargada_at", "retirada_at")
     b = orphans.orphan_references(r, "question_id", p, "id", "respondida_at", "cargada_at", "retirada_at", max_filter_bytes=0)
