@@ -1,7 +1,7 @@
 """Schemas that drift between the files of a feed: profiles, changes, and one table over all of them.
 
 1. Every file's fields are profiled: types, share of distinct values, and a bottom-k sketch of the values. Each task
-   folds its records into partial profiles before anything is shuffled.
+   folds its records into partial profiles before anything is shuffled; the forms of values are sketched likewise.
 2. A file is compared with the one before it in its feed. The neighbours are found chunk by chunk of time, so a feed that
    holds most files is never one task.
 3. Fields that went and fields that came are matched (cheapest assignment) on the overlap of their values, the overlap of
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -26,19 +27,17 @@ from quizlake.session import ready, stage
 
 #: Values kept by a sketch.
 SKETCH = 64
-#: Forms of values kept for a field of a file.
-FORMS = 8
 #: Partial profiles that a task keeps before it hands them on.
 FOLD = 20_000
 #: Least similarity of a rename.
 RENAMED = 0.35
 #: Width of a chunk of a feed's files.
 CHUNK_SECONDS = 30 * 86_400
-#: Names above which the corpus sketches are joined by a shuffle rather than broadcast.
-BROADCAST_NAMES = 20_000
+#: Least share of what either of two names ever did in renames that links them.
+LINKED = 0.1
 TYPES = ("string", "whole", "decimal", "list", "other")
 
-_PROFILE = "feed string, archivo_id long, exportado_at timestamp_ntz, campo string, n long, tipos array<long>, valores array<long>, formas array<string>"
+_PROFILE = "feed string, archivo_id long, exportado_at timestamp_ntz, campo string, n long, tipos array<long>, valores array<long>, formas array<long>"
 _PAIR = "archivo_id long, viejo string, nuevo string, parecido double"
 
 
@@ -81,17 +80,42 @@ def plain(value: object) -> str:
     return value.strip() if isinstance(value, str) else json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
+class _Shapes(dict):
+    """Code point -> 9 for digits, a for letters, itself for others; filled as signs are met."""
+
+    def __missing__(self, c: int) -> int:
+        sign = chr(c)
+        self[c] = got = 57 if sign.isdecimal() else 97 if sign.isalpha() else c
+        return got
+
+
+_SHAPES = _Shapes()
+_DIGIT, _LETTERS = re.compile(r"\d"), re.compile("a{2,}")
+
+
 def form(text: str) -> str:
     """The form of a written value if it tells much: digits as 9, runs of letters as a, with three signs or more and a digit; else empty."""
-    got = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", text[:40]))
-    return got if len(got) >= 3 and "9" in got else ""
+    if not _DIGIT.search(text):
+        return ""
+    got = _LETTERS.sub("a", text.translate(_SHAPES))
+    return got if len(got) >= 3 else ""
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def _keep(sketch: set[int], value: int) -> set[int]:
+    """``sketch`` with ``value``; whatever the order of values, its SKETCH smallest ones are those of all values."""
+    sketch.add(value)
+    return sketch if len(sketch) <= 4 * SKETCH else set(sorted(sketch)[:SKETCH])
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: dict = {}
 
     def out() -> pd.DataFrame:
-        rows = [(*key, n, kinds, sorted(values)[:SKETCH], sorted(forms)[:FORMS]) for key, (n, kinds, values, forms) in held.items()]
+        rows = [(*key, n, kinds, sorted(values)[:SKETCH], sorted(forms)[:SKETCH]) for key, (n, kinds, values, forms) in held.items()]
         held.clear()
         return pd.DataFrame(rows, columns=["feed", "archivo_id", "exportado_at", "campo", "n", "tipos", "valores", "formas"])
 
@@ -107,11 +131,9 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mine[0] += 1
                 mine[1][kind(value)] += 1
                 text = plain(value)
-                mine[2].add(xxhash.xxh64_intdigest(text) - (1 << 63))
-                if len(mine[3]) < FORMS and (shape := form(text)):
-                    mine[3].add(shape)
-                if len(mine[2]) > 4 * SKETCH:
-                    mine[2] = set(sorted(mine[2])[:SKETCH])
+                mine[2] = _keep(mine[2], _hash(text))
+                if shape := form(text):
+                    mine[3] = _keep(mine[3], _hash(shape))
             if len(held) > FOLD:
                 yield out()
     if held:
@@ -123,6 +145,33 @@ def _merged(sketches: str) -> Column:
     return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(sketches)))), 1, SKETCH)
 
 
+def _fold_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: dict[str, np.ndarray] = {}
+
+    def out() -> pd.DataFrame:
+        got = pd.DataFrame({"campo": list(held), "dominio": list(held.values())})
+        held.clear()
+        return got
+
+    for batch in batches:
+        for name, values in batch.groupby("campo")["valores"]:
+            parts = [held[name], *values] if name in held else list(values)
+            held[name] = np.unique(np.concatenate(parts))[:SKETCH]
+        if len(held) > FOLD:
+            yield out()
+    if held:
+        yield out()
+
+
+def domains(profiled: DataFrame) -> DataFrame:
+    """(campo, dominio): the sketch of all values that a name has in the whole corpus.
+
+    Files' sketches are merged within every task first, so what meets in one group grows with the tasks, not with the files.
+    """
+    parts = profiled.select("campo", "valores").mapInPandas(_fold_names, "campo string, dominio array<long>")
+    return parts.groupBy("campo").agg(_merged("dominio").alias("dominio"))
+
+
 def profile(raw: DataFrame) -> DataFrame:
     """One row per file and field with any value: (feed, archivo_id, exportado_at, campo, n, tipo, varia, valores, formas).
 
@@ -134,7 +183,7 @@ def profile(raw: DataFrame) -> DataFrame:
     ready(raw.sparkSession)
     parts = raw.where(F.col("archivo_id").isNotNull()).select("feed", F.col("archivo_id").cast("long").alias("archivo_id"), F.col("exportado_at").cast("timestamp_ntz").alias("exportado_at"), "payload").mapInPandas(_fold, _PROFILE)
     sums = [F.sum(F.col("tipos")[i]).alias(f"_{i}") for i in range(len(TYPES))]
-    one = parts.groupBy("archivo_id", "campo").agg(F.min("feed").alias("feed"), F.min("exportado_at").alias("exportado_at"), F.sum("n").alias("n"), *sums, _merged("valores").alias("valores"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("formas")))), 1, FORMS).alias("formas"))
+    one = parts.groupBy("archivo_id", "campo").agg(F.min("feed").alias("feed"), F.min("exportado_at").alias("exportado_at"), F.sum("n").alias("n"), *sums, _merged("valores").alias("valores"), _merged("formas").alias("formas"))
     most = F.greatest(*(F.col(f"_{i}") for i in range(len(TYPES))))
     tipo = F.coalesce(*(F.when(F.col(f"_{i}") == most, F.lit(t)) for i, t in enumerate(TYPES)))
     full = F.size("valores") >= SKETCH
@@ -182,8 +231,7 @@ def likeness(old: dict, new: dict) -> float:
     vary in one file and stand still in the other are not the same. Names and types settle the rest.
     """
     here, ever = _overlap(old["valores"], new["valores"]), _overlap(old["dominio"], new["dominio"])
-    forms, other = set(old["formas"]), set(new["formas"])
-    values = max(here, ever, 0.6 * len(forms & other) / max(1, len(forms | other)))
+    values = max(here, ever, 0.6 * _overlap(old["formas"], new["formas"]))
     name = _name_likeness(old["campo"], new["campo"])
     vary = (old["varia"], new["varia"])
     apart = abs(vary[0] - vary[1]) if all(v is not None and v == v for v in vary) else 0.0
@@ -228,9 +276,7 @@ def compare(profiled: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     wanted = side("gone", "anterior", "_gone").unionByName(side("came", "archivo_id", "_came"))
     sketches = profiled.select(F.col("archivo_id").alias("_file"), "campo", "tipo", "varia", "valores", "formas")
-    domains = profiled.groupBy("campo").agg(_merged("valores").alias("dominio"))
-    small = domains.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES
-    full = wanted.join(sketches, ["_file", "campo"]).join(F.broadcast(domains) if small else domains, "campo")
+    full = wanted.join(sketches, ["_file", "campo"]).join(domains(profiled), "campo")
     sets = full.groupBy("archivo_id").agg(F.collect_list(F.struct("lado", "campo", "tipo", "varia", "valores", "formas", "dominio")).alias("campos"))  # a file's fields
     return stage(sets.mapInPandas(_solve, _PAIR), "renames"), pairs
 
@@ -256,25 +302,29 @@ def changes(profiled: DataFrame) -> DataFrame:
     )
 
 
-def columns(profiled: DataFrame, least: int = 2) -> dict[str, list[str]]:
+def columns(profiled: DataFrame, least: float = LINKED) -> dict[str, list[str]]:
     """Column name -> the field names it was delivered under, commonest first.
 
-    Names are linked by at least ``least`` renames (or by one that makes up half of what either name ever did), so that
-    one mistaken pair does not fuse two columns. What reaches the driver is one row per pair of names, not per file.
+    Two names are linked if the likenesses of their renames add up to ``least`` of all renames that the less active of the
+    two took part in: a share, alike for inputs of any size, that a mistaken pair now and then does not reach. What
+    reaches the driver is one row per pair of names, not per file.
     """
     renamed, _ = compare(profiled)
-    links = renamed.groupBy("viejo", "nuevo").agg(F.count(F.lit(1)).alias("n")).collect()
+    links = renamed.groupBy("viejo", "nuevo").agg(F.count(F.lit(1)).alias("n"), F.sum("parecido").alias("w")).collect()
     files = {r["campo"]: r["n"] for r in profiled.groupBy("campo").agg(F.count(F.lit(1)).alias("n")).collect()}
     of: dict[str, int] = {}
+    both: dict[frozenset, float] = {}
     for r in links:
         of[r["viejo"]] = of.get(r["viejo"], 0) + r["n"]
         of[r["nuevo"]] = of.get(r["nuevo"], 0) + r["n"]
+        pair = frozenset((r["viejo"], r["nuevo"]))
+        both[pair] = both.get(pair, 0.0) + r["w"]
     sets = DisjointSets()
     for name in files:
         sets.find(name)
-    for r in links:
-        if r["n"] >= least or 2 * r["n"] >= min(of[r["viejo"]], of[r["nuevo"]]):
-            sets.join(r["viejo"], r["nuevo"])
+    for pair, weight in both.items():
+        if weight >= least * min(of[name] for name in pair):
+            sets.join(*sorted(pair))
     out = {}
     for names in sets.classes().values():
         names = sorted(names, key=lambda c: (-files[c], c))
@@ -282,14 +332,19 @@ def columns(profiled: DataFrame, least: int = 2) -> dict[str, list[str]]:
     return dict(sorted(out.items()))
 
 
+#: Of the table over all files: values of further names of a column, as a JSON object; null if there are none.
+OTHERS = "otros_valores"
+
+
 def unify(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
-    """All valid records as (feed, archivo_id, registro_no, one text column per entry of ``names``), distinct.
+    """All valid records as (feed, archivo_id, registro_no, one column per entry of ``names``, otros_valores), distinct.
 
-    A value is written alike whatever its type (``plain``). If a record has several names of one column, the commonest
-    name that has a value wins. Dots in a column name become underscores.
+    A column is bigint or double if all its values are whole or decimal numbers, however they were delivered, else a
+    string with every value written alike (``plain``). If a record has several names of one column, the commonest name that
+    has a value wins, and other values go to ``otros_valores`` under their names. Dots in a column name become underscores.
     """
     spelled = [(c.replace(".", "_"), many) for c, many in names.items()]
-    schema = "feed string, archivo_id long, registro_no long" + "".join(f", `{c}` string" for c, _ in spelled)
+    schema = "feed string, archivo_id long, registro_no long" + "".join(f", `{c}` string" for c, _ in spelled) + f", `{OTHERS}` string"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,9 +354,22 @@ def unify(raw: DataFrame, names: dict[str, list[str]]) -> DataFrame:
                 if got is None:
                     continue
                 have = {k: plain(v) for k, v in leaves(got) if v is not None}
-                out.append((feed, file, no, *(next((have[n] for n in many if n in have), None) for _, many in spelled)))
-            yield pd.DataFrame(out, columns=["feed", "archivo_id", "registro_no", *(c for c, _ in spelled)])
+                taken, rest = [], {}
+                for _, many in spelled:
+                    there = [n for n in many if n in have]
+                    taken.append(have[there[0]] if there else None)
+                    rest |= {n: have[n] for n in there[1:] if have[n] != have[there[0]]}
+                out.append((feed, file, no, *taken, json.dumps(rest, ensure_ascii=False, sort_keys=True) if rest else None))
+            yield pd.DataFrame(out, columns=["feed", "archivo_id", "registro_no", *(c for c, _ in spelled), OTHERS])
 
     ready(raw.sparkSession)
     wanted = raw.where(F.col("archivo_id").isNotNull()).select("feed", F.col("archivo_id").cast("long").alias("archivo_id"), F.col("registro_no").cast("long").alias("registro_no"), "payload")
-    return wanted.mapInPandas(rows, schema).distinct()
+    texts = stage(wanted.mapInPandas(rows, schema).distinct(), "unified")
+    if not spelled:
+        return texts
+    # One count per column and type decides; a value of digits with a leading zero is a code, not a number.
+    whole = lambda c: F.col(f"`{c}`").rlike(r"^-?(0|[1-9]\d*)$") & F.col(f"`{c}`").try_cast("bigint").isNotNull()
+    number = lambda c: F.col(f"`{c}`").rlike(r"^-?(0|[1-9]\d*)(\.\d+)?([eE][-+]?\d+)?$")
+    counts = texts.agg(*(x for i, (c, _) in enumerate(spelled) for x in (F.count(f"`{c}`").alias(f"_a{i}"), F.count_if(whole(c)).alias(f"_w{i}"), F.count_if(number(c)).alias(f"_n{i}")))).first()
+    kind = lambda i: "string" if not counts[f"_a{i}"] else "bigint" if counts[f"_w{i}"] == counts[f"_a{i}"] else "double" if counts[f"_n{i}"] == counts[f"_a{i}"] else "string"
+    return texts.select("feed", "archivo_id", "registro_no", *(F.col(f"`{c}`").cast(kind(i)).alias(c) for i, (c, _) in enumerate(spelled)), OTHERS)

@@ -191,7 +191,28 @@ def test_drift_changes(spark):
     names = drift.columns(profiled)
     assert set(names["anio"]) == {"anio", "year"} and set(names["comunidad"]) == {"comunidad", "place.community"}
     table_ = drift.unify(raw, names)
-    assert table_.count() == 12 and table_.where("anio = '2019' and comunidad = 'Galicia'").count() == 2
+    assert table_.count() == 12 and table_.where("anio = 2019 and comunidad = 'Galicia'").count() == 2
+    assert dict(table_.dtypes)["anio"] == "double" and dict(table_.dtypes)["comunidad"] == "string"
+
+
+def test_values_of_further_names_are_kept(spark):
+    raw = feed(spark, [[{"anio": 2020, "year": 2020, "codigo": "007"}, {"anio": 2021, "year": [2019]}, {"year": "2018"}]])
+    got = drift.unify(raw, {"anio": ["anio", "year"], "codigo": ["codigo"]}).orderBy("registro_no").collect()
+    assert [(r["anio"], r["codigo"], r["otros_valores"]) for r in got] == [(2020, "007", None), (2021, None, '{"year": "2019"}'), (2018, None, None)]
+
+
+def test_forms_are_of_whole_values_in_any_order(spark):
+    values = [f"{'b' * 50}-{'1' * (i % 40 + 1)}" for i in range(300)]
+    assert len({drift.form("palabra " * 9 + t) for t in ("1", "1.5")}) == 2 and drift.form("sin cifras") == "" and drift.form("año 2020") == "a 9999"
+    one, two = (drift.profile(feed(spark, [[{"c": v} for v in order]])).first() for order in (values, values[::-1]))
+    assert one["formas"] == two["formas"] and one["valores"] == two["valores"] and len(one["formas"]) > 3
+
+
+def test_domains_merge_in_stages(spark, monkeypatch):
+    monkeypatch.setattr(drift, "FOLD", 1)
+    rows = [(f"n{i % 3}", sorted(hash((i, j)) for j in range(40))) for i in range(60)]
+    got = {r["campo"]: r["dominio"] for r in drift.domains(spark.createDataFrame(rows, "campo string, valores array<long>").repartition(5)).collect()}
+    assert got == {n: sorted({v for m, vs in rows if m == n for v in vs})[: drift.SKETCH] for n in ("n0", "n1", "n2")}
 
 
 def test_neighbours_across_chunks(spark):
