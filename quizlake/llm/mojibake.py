@@ -1,7 +1,8 @@
 """Text decoded with the wrong encoding: finding it, and restoring what can be restored.
 
 A text is re-encoded under a candidate legacy encoding and strictly decoded as the intended one, again and again for
-nested damage, for as long as its garbling cost drops. The cost counts signs where running text does not have them:
+nested damage, for as long as its garbling cost drops. One-byte encodings taken for one another are told by words that no
+Latin script writes so (a capital or a symbol within a word, a ß after a consonant); a field without any such word stays. The cost counts signs where running text does not have them:
 controls, box drawing, symbols that touch letters, capitals after small letters, ordinals after letters, and so on.
 Letters of other languages cost little, and signs of other scripts nothing, so names and symbols written properly stay.
 """
@@ -23,8 +24,8 @@ from quizlake.session import ready
 READ_AS = ("cp1252", "latin-1", "cp850", "cp437", "mac_roman", "cp1251")
 #: (read as, meant): one-byte encodings taken for one another.
 SWAPPED = (("mac_roman", "cp1252"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp850"))
-#: Layers of damage that are undone at most.
-LAYERS = 5
+#: Words that must speak for a pair of encodings before it also changes words which look right as they are.
+AGREEING = 2
 #: Least drop of the cost; smaller ones, down to SMALL_DROP, count if no cost remains.
 DROP, SMALL_DROP = 1.0, 0.35
 #: Signs that running text has anyway; any other sign makes a field suspect.
@@ -40,6 +41,8 @@ ODD = r"(?=[^\x00-\x7F])(?:" + "|".join((
 
 _HOME = frozenset("áéíóúüñÁÉÍÓÚÜÑ")
 _RARE = frozenset("ßþðÞÐƒ")
+# Letters of that block which living languages of Europe and Asia write.
+_EXTENDED = frozenset("ȘșȚțƠơƯưƏǍǎǐǑǒǓǔǦǧƁƂƉƊƎ")
 _OPENING, _CLOSING = frozenset("¿¡«“‘"), frozenset("»”’")
 
 
@@ -47,6 +50,8 @@ def _sign_cost(c: str, before: str, after: str) -> float:
     kind = unicodedata.category(c)
     if c == "�" or "\x80" <= c <= "\x9f" or "─" <= c <= "▟":
         return 2.0
+    if "\u0180" <= c <= "\u024f" and c not in _EXTENDED and c not in _RARE:  # letters no one writes, but for these
+        return 2.0
     if kind in ("Lu", "Ll") and c <= "ɏ":
         cost = 0.0 if c in _HOME else 1.1 if c in _RARE else 0.4
         if kind == "Lu" and before.islower() and before.isalpha() and before not in "ºª":
@@ -74,6 +79,8 @@ def _sign_cost(c: str, before: str, after: str) -> float:
         return 1.0
     if "\u02b0" <= c <= "\u02ff":  # accents standing alone
         return 1.5
+    if "Ͱ" <= c <= "ӿ" and kind[0] == "L":  # of another alphabet; within a Latin word it is odd, however it came there
+        return 1.5 if any(x.isalpha() and x <= "ɏ" for x in (before, after)) else 0.0
     if kind[0] == "L" or kind[0] in "MZ" or kind in ("Cf", "Nd") or c >= "＀" and c <= "～":
         return 0.0
     if c in "±°×÷" and (after.isdigit() or before.isdigit()) and not before.isalpha() and not after.isalpha():
@@ -137,19 +144,53 @@ def _as_utf8(text: str, encoding: str) -> str:
 _DASH = re.compile(r"(?<=[^\W\d_])(?:–(?![aeiouáéíóúü])|—(?![a-záéíóúüñ]))(?=[^\W\d_])")
 
 
+# Where the letters stand that damage brings into words, in languages that write them.
+_WRITTEN = {
+    "ß": re.compile(r"(?<=[aeiouyäöüAEIOUÄÖÜ])ß"),
+    "œ": re.compile(r"œ(?=[ui])|(?<![^\W\d_])œ(?=[ncsd])|(?<=f)œ(?=t)|(?<=c)œ(?=l)|(?<=m)œ(?=ll)", re.IGNORECASE),
+    "Ÿ": re.compile(r"(?<![a-z])Ÿ"),
+    "ƒ": re.compile(r"(?!)"),
+    "à": re.compile(r"(?<![aeo])à|à(?=[^\W\d_])"),
+}
+_LETTERS = re.compile(r"[^\W\d_]+(?:(?:[-'’]|(?<=[lL])·(?=[lL]))[^\W\d_]+)*")
+_EDGE = " \t\n¿?¡!«»“”„‘’\"'()[]{}.,;:…–—-/%*"
+
+
+def plausible(word: str) -> bool:
+    """Whether a word could be written so in some language of the Latin script: letters that are all small, all capitals, or
+    small after a capital, and rare letters where they are at home. Marks at its ends do not count."""
+    core = word.strip(_EDGE)
+    if core.isascii():
+        return True
+    if not _LETTERS.fullmatch(core) or any(unicodedata.category(c) not in ("Lu", "Ll", "Lo") or c > "ɏ" for c in core if c > "\x7f" and c not in "’·"):
+        return False
+    if not all(part.isupper() or part[1:].islower() or len(part) == 1 for part in re.split("[-'’·]", core)):
+        return False
+    return all(len(at.findall(core)) == core.count(sign) for sign, at in _WRITTEN.items() if sign in core)
+
+
 def _as_other(text: str, read_as: str, meant: str) -> str:
-    """The words that look better, or as faultless, when read in ``meant``, so read; all others stay."""
-    table, signs = _bytes_of(read_as), _signs_of(meant)
+    """The words that look better when read in ``meant``, so read; all others stay.
 
-    def word(m: re.Match) -> str:
-        old = m[0]
+    A word which is plausible as it stands changes only if AGREEING others, which are not, speak for the same pair.
+    """
+    table, signs = _bytes_of(read_as), _signs_of(meant)
+    changes: dict[str, str] = {}
+    surely = set()
+    for old in set(re.findall(r"[^\s]+", text)):
         if old.isascii() or any(c > "\x7f" and c not in table for c in old) or read_as == "cp1252" and _DASH.search(old):
-            return old
+            continue
         new = "".join(signs[table[c]] if c > "\x7f" else c for c in old)
         a, b = cost(new), cost(old)
-        return new if a < b or a == b == 0 else old
-
-    return re.sub(r"[^\s]+", word, text)
+        if a < b or a == b == 0:
+            changes[old] = new
+            if a < b and not plausible(old):
+                surely.add(old)
+    if not surely:
+        return text
+    if len(surely) < AGREEING:
+        changes = {w: changes[w] for w in surely}
+    return re.sub(r"[^\s]+", lambda m: changes.get(m[0], m[0]), text)
 
 
 def restore(text: str) -> tuple[str, bool]:
@@ -159,9 +200,7 @@ def restore(text: str) -> tuple[str, bool]:
     garbled only if a decoding lowers its cost by DROP, or by SMALL_DROP to nothing.
     """
     now, left = text, cost(text)
-    for _ in range(LAYERS):
-        if left == 0:
-            break
+    while left > 0:  # every layer lowers the cost, so they end
         tries = [_as_utf8(now, e) for e in READ_AS] + [_as_other(now, *pair) for pair in SWAPPED]
         prices = [cost(t) for t in tries]
         best = min(range(len(tries)), key=lambda i: (prices[i], i))

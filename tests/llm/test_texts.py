@@ -20,6 +20,24 @@ def test_proper_text_is_no_case(text):
     assert mojibake.restore(text) == (text, False)
 
 
+FOREIGN = """Straße Straßen Fuß groß weiß Maße GROẞ œuvre cœur sœur bœuf Œdipe fœtus œsophage voilà là déjà perché già città qualità più così
+    smörgåsbord Åland år blåbær Ærø øl Søren Gdańsk Łódź złoty śnieg Þór það Kraków coração São não ações àvila l'Hospitalet col·legi paral·lel
+    Öl über Çelik ağaç İzmir ştiinţă český žluťoučký Dvořák Ljubljana č ÎLE Île-aux-Âmes château forêt naïve Noël""".split()
+
+
+@pytest.mark.parametrize("word", FOREIGN)
+def test_right_words_of_other_languages_stay(word):
+    for text in (word, f"él dijo {word}", f"En «{word}», según él, más tarde", f"{word} y {word}: {word}."):
+        assert mojibake.restore(text) == (text, False)
+
+
+def test_any_number_of_layers():
+    text = bad = "según el patrón, más allá"
+    for _ in range(7):
+        bad = bad.encode().decode("latin-1")
+    assert mojibake.restore(bad) == (text, True)
+
+
 @pytest.mark.parametrize("read_as", ["latin-1", "cp1252", "cp850", "cp437", "mac_roman"])
 @pytest.mark.parametrize("text", CLEAN[:3])
 def test_utf8_read_otherwise_is_restored(text, read_as):
