@@ -103,22 +103,32 @@ BLOCKS = [
     lambda c: _swap(c, rf"(\n[ \t\x{{A0}}]*)(?={_ITEM})", "$1" + CUT),
 ]
 
-#: Periods that end no sentence: every pattern starts at the period, which is rarer than any letter.
+#: Periods that end no sentence: every pattern starts at the period, which is rarer than any letter. These look at the text
+#: as it is and so make one pattern; those of _AFTER also look at what these have masked.
 _NO_ENDS = [
     r"\.(?<=[\p{L}\p{M}\p{N}]\.)(?=[\p{L}\p{N}])",  # decimals, times, file names, hosts, a.m, U.S
     rf"(?iu)\.(?<=(?<![\p{{L}}\p{{N}}]){_any(ABBREVIATIONS)}\.)",
     r"(?iu)\.(?<=(?<![\p{L}\p{N}])p\.)(?=\s+(?:ej|ex)\W)",
     r"(?i)\.(?<=(?<![\p{L}\p{N}])[dz]\.)(?=\s*[hb]\.)",
-    rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])[dz]{MASK}\s{{0,2}}[hb]\.)",
     r"\.(?<=(?<![\p{L}\p{N}])EE\.)(?=\s*UU\.)",
     rf"\.(?<=(?<![\p{{L}}\p{{N}}])(?iu:{_any(OPEN_ABBREVIATIONS)})\.)(?=\s*[,;:)]|\s+\p{{Ll}})",
-    rf"\.(?<={MASK}\p{{L}}\.)(?=\s*[,;:)]|\s+[^\p{{Lu}}\s«“\"¿¡(])",
     r"\.(?<=(?<![\p{L}\p{N}])v\.)(?=\s+(?:\p{Ll}|\d))",
     r"\.(?<=(?<!['′º°]\s)(?<!\d\s)(?<![\p{L}\p{N}'′])\p{Lu}\.)(?=\s+\p{L})",  # initials, but not the points of a position
-    rf"\.(?<=(?:^\s{{0,4}}|[.!?…»”\"{MASK}]\s{{1,4}})\p{{Ll}}\.)(?=\s+\p{{Lu}})",
     rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])no?\.)(?=\s*\d+(?!\d)(?!\s+{_any(UNITS)}))",
     rf"(?iu)\.(?<=\d\.)(?=\s+{_any(MONTHS)}(?!\p{{L}}))",
 ]
+_AFTER = [
+    rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])[dz]{MASK}\s{{0,2}}[hb]\.)",
+    rf"\.(?<={MASK}\p{{L}}\.)(?=\s*[,;:)]|\s+[^\p{{Lu}}\s«“\"¿¡(])",
+    rf"\.(?<=(?:^\s{{0,4}}|[.!?…»”\"{MASK}]\s{{1,4}})\p{{Ll}}\.)(?=\s+\p{{Lu}})",
+]
+
+
+def _one(patterns: list[str]) -> str:
+    """One pattern for all: each keeps its own flags."""
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 _CAPITALS = r"^[^\p{Ll}]*\p{Lu}{3}[^\p{Ll}]*$"
 _ITEM_BLOCK = rf"^{_SPACE}*{_ITEM}"
 #: After these, no sign of an end is left in a block that ends no sentence. A list item is one sentence as it is.
@@ -126,32 +136,44 @@ MASKS = [
     lambda c: F.when(c.rlike(_ITEM_BLOCK), _hidden(c)).otherwise(c),
     *(lambda c, p=p: _inside(c, *p, _hidden) for p in PAIRS),
     lambda c: _inside_straight(c, _hidden),
-    *(lambda c, p=p: _swap(c, p, MASK) for p in _NO_ENDS),
+    lambda c: F.when(c.contains("."), _swap(c, _one(_NO_ENDS), MASK)).otherwise(c),
+    lambda c: F.when(c.contains("."), _swap(c, _one(_AFTER), MASK)).otherwise(c),
     # Within capitals only, the case of the next letter tells nothing.
-    lambda c: F.when(c.rlike(_CAPITALS), _swap(c, rf"\.(?<=(?:{MASK}\p{{L}}|(?<!\p{{L}})UU)\.)(?=\s+\p{{L}})", MASK)).otherwise(c),
+    lambda c: F.when(F.col(_CAPS), _swap(c, rf"\.(?<=(?:{MASK}\p{{L}}|(?<!\p{{L}})UU)\.)(?=\s+\p{{L}})", MASK)).otherwise(c),
     lambda c: _swap(c, rf"(?iu)^({_SPACE}*{_any(HEADINGS)}\s+[\dIVXLC]+)\.", "$1" + MASK),
     lambda c: _swap(c, rf"^({_SPACE}*\d+(?:{MASK}\d+)*)\.(?=\s)", "$1" + MASK),
 ]
 
 _TAIL = rf"[{_CLOSERS}]*+(?:\s[»])?+(?:{_SPACE}*+{_EMOJI}++)*+"
 _QUOTED = rf"{INNER}\s?[»”’\"」』“]++(?:{_SPACE}*+{_EMOJI}++)*+"
+def _where(test, change):  # noqa: ANN001, ANN202
+    """A step that is taken only where the test holds: tests are cheap, and most rules concern few texts."""
+    return lambda c: F.when(test(c), change(c)).otherwise(c)
+
+
+#: Columns made once for a block: whether it is in capitals, and whether it has signs of the scripts with rules of their own.
+_CAPS, _SCRIPTS = "_caps", "_scripts"
+_OTHER_SCRIPTS = r"[।॥؟۔。！？｡」』\p{IsThai}]"
+_capitals, _scripts = (lambda c: F.col(_CAPS)), (lambda c: F.col(_SCRIPTS))
+_inner = lambda c: c.contains(INNER)
+_dashes = lambda c: c.contains("—") | c.contains("–")
 #: Cuts after every sentence of a masked block.
 CUTS = [
     lambda c: _swap(c, rf"((?:[!?.…]|;(?<=\p{{IsGreek}};))+{_TAIL}{_SPACE}++)(?=\S)", "$1" + CUT),
     # Not after dots of suspense before a small letter, nor before what a speaker's dash adds.
-    lambda c: _swap(c, rf"{CUT}(?<=(?:\.\.|…)[{_CLOSERS}]{{0,3}}{_SPACE}{{1,4}}{CUT})(?=\p{{Ll}}|(?iu:{_any(GOING_ON)})\s)", ""),
-    lambda c: _swap(c, rf"{CUT}(?=[—–]\s?\p{{Ll}})", ""),
-    lambda c: _swap(c, rf"([।॥؟۔]++{_TAIL}{_SPACE}*+)(?=\S)", "$1" + CUT),
-    lambda c: _swap(c, rf"([。！？｡]++[»”’」』）)]*+(?:{_SPACE}*+{_EMOJI}++)*+{_SPACE}*+)(?=\S)", "$1" + CUT),
+    _where(lambda c: c.contains("..") | c.contains("…"), lambda c: _swap(c, rf"{CUT}(?<=(?:\.\.|…)[{_CLOSERS}]{{0,3}}{_SPACE}{{1,4}}{CUT})(?=\p{{Ll}}|(?iu:{_any(GOING_ON)})\s)", "")),
+    _where(_dashes, lambda c: _swap(c, rf"{CUT}(?=[—–]\s?\p{{Ll}})", "")),
+    _where(_scripts, lambda c: _swap(c, rf"([।॥؟۔]++{_TAIL}{_SPACE}*+)(?=\S)", "$1" + CUT)),
+    _where(_scripts, lambda c: _swap(c, rf"([。！？｡]++[»”’」』）)]*+(?:{_SPACE}*+{_EMOJI}++)*+{_SPACE}*+)(?=\S)", "$1" + CUT)),
     # A quotation that ends with an end: a new sentence follows if it looks like one.
-    lambda c: _swap(c, rf"({_QUOTED}{_SPACE}+)(?=[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡«“„\"(—]|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])(?!(?iu:{_any(GOING_ON)})\s)", "$1" + CUT),
-    lambda c: F.when(c.rlike(_CAPITALS), _swap(c, rf"(^|{CUT})({_SPACE}*[\"«“„][^\"«»“”„{CUT}]{{0,400}}{_QUOTED}{_SPACE}+){CUT}", "$1$2")).otherwise(c),
-    lambda c: _swap(c, rf"({INNER}[」』”])(?=[「『“])", "$1" + CUT),
-    lambda c: _swap(c, rf"((?:^|{CUT}){_SPACE}*[(（][^()（）{CUT}]*{INNER}[)）]{_SPACE}+)(?=[\p{{Lu}}¿¡«“„\"])", "$1" + CUT),
-    lambda c: F.when(c.rlike(_CAPITALS), _swap(c, rf"{CUT}(?=[—–]\p{{L}})", "")).otherwise(c),
-    lambda c: _swap(c, rf"([:,]\s\"[^\"{CUT}]{{0,400}}{INNER}\"{_SPACE}+)(?=\p{{Ll}})(?!{_any(GOING_ON)}\s)", "$1" + CUT),
+    _where(_inner, lambda c: _swap(c, rf"({_QUOTED}{_SPACE}+)(?=[\p{{Lu}}\p{{Lt}}\p{{N}}¿¡«“„\"(—]|[\p{{IsHan}}\p{{IsHiragana}}\p{{IsKatakana}}])(?!(?iu:{_any(GOING_ON)})\s)", "$1" + CUT)),
+    _where(_capitals, lambda c: _swap(c, rf"(^|{CUT})({_SPACE}*[\"«“„][^\"«»“”„{CUT}]*{_QUOTED}{_SPACE}+){CUT}", "$1$2")),
+    _where(_inner, lambda c: _swap(c, rf"({INNER}[」』”])(?=[「『“])", "$1" + CUT)),
+    _where(_inner, lambda c: _swap(c, rf"((?:^|{CUT}){_SPACE}*[(（][^()（）{CUT}]*{INNER}[)）]{_SPACE}+)(?=[\p{{Lu}}¿¡«“„\"])", "$1" + CUT)),
+    _where(_capitals, lambda c: _swap(c, rf"{CUT}(?=[—–]\p{{L}})", "")),
+    _where(lambda c: c.contains(INNER + '"'), lambda c: _swap(c, rf"([:,]\s\"[^\"{CUT}]*{INNER}\"{_SPACE}+)(?=\p{{Ll}})(?!{_any(GOING_ON)}\s)", "$1" + CUT)),
     # Thai: every space.
-    lambda c: F.when(c.rlike(r"\p{IsThai}"), _swap(c, rf"({_SPACE}+)(?=\p{{IsThai}})|(?<=\p{{IsThai}})({_SPACE}+)(?!\p{{IsThai}})", "$1$2" + CUT)).otherwise(c),
+    _where(_scripts, lambda c: _swap(c, rf"({_SPACE}+)(?=\p{{IsThai}})|(?<=\p{{IsThai}})({_SPACE}+)(?!\p{{IsThai}})", "$1$2" + CUT)),
 ]
 
 
@@ -162,6 +184,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(r"\S")).withColumn("_b", F.col("_text"))
     rows = _pieces(_steps(rows, "_b", BLOCKS), "_b", "_block", "_c").where(F.col("_c").rlike(r"\S"))
+    rows = rows.withColumns({_CAPS: F.col("_c").rlike(_CAPITALS), _SCRIPTS: F.col("_c").rlike(_OTHER_SCRIPTS)})
     rows = _pieces(_steps(rows, "_c", MASKS + CUTS), "_c", "_at", "_o")
     around = rf"[{_SPACE[1:-1]}{BREAK}]+"
     rows = rows.withColumn("_lead", F.length("_o") - F.length(_swap(F.col("_o"), "^" + around, "")))
