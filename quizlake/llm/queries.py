@@ -61,7 +61,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fields with the kinds of deviation and their consistent form."""
     got = lookalike.consistent(question_fields(_questions(spark, sf_dir)))
-    return got.select("num", "campo", "texto", F.array_join("clases", ",").alias("clases"), "forma")
+    return got.select("num", "campo", "texto", F.array_join("clases", ",").alias("clases"), "forma", F.array_join("restantes", ",").alias("restantes"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

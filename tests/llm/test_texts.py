@@ -122,9 +122,23 @@ def test_lookalike_rewriting():
 
 
 def test_lookalike_kinds(spark):
-    table = [("ｖela", ["ancho"]), ("á", ["combinado"]), ("a⁠b", ["invisible"]), ("a b", ["espacio"]), ("vеla", ["mezcla"]), ("1º ½ … “x” «Заря» Δ\t\n", []), (None, []), ("", [])]
-    got = spark.createDataFrame([(t,) for t, _ in table], "t string").select(lookalike.kinds(F.col("t"))).collect()
-    assert [g[0] for g in got] == [w for _, w in table]
+    table = [("ｖela", ["ancho"]), ("á", ["combinado"]), ("a\u2060b", ["invisible"]), ("a\xa0b", ["espacio"]), ("vеla", ["mezcla"]), ("1º ½ … “x” «Заря» Δ\t\n", []), ("", [])]
+    table[1] = ("a\u0301", ["combinado"])
+    assert [lookalike.kinds(t) for t, _ in table] == [w for _, w in table]
+    got = spark.createDataFrame([(t,) for t, _ in table] + [(None,)], "t string").select(lookalike.suspect(F.col("t"))).collect()
+    assert all(g[0] for g, (_, w) in zip(got, table) if w) and not got[-1][0] and not got[-2][0]
+
+
+def test_rows_come_from_the_rewriting(spark):
+    texts = ["￠ y ￡", "👩\u200d🚀 sale", "q\u0301", "más\u200b", "vеla", "wжw", "Заря", "más", "⚠\ufe0f", "｟x｠", None, ""]
+    got = {r["texto"]: (r["forma"], r["restantes"]) for r in lookalike.consistent(spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "num long, campo string, texto string")).collect()}
+    assert got == {"￠ y ￡": ("¢ y £", []), "👩\u200d🚀 sale": ("👩\u200d🚀 sale", ["invisible"]), "q\u0301": ("q\u0301", ["combinado"]), "más\u200b": ("más", []), "vеla": ("vela", []), "wжw": ("wжw", ["mezcla"]), "⚠\ufe0f": ("⚠\ufe0f", ["combinado"]), "｟x｠": ("⦅x⦆", [])}
+
+
+def test_whole_classes_are_rewritten_to_plain_members(spark):
+    fields = spark.createDataFrame([(1, "a", "\xa0" * 50 + "uno dos"), (2, "a", "a b")], "num long, campo string, texto string")
+    got = {r["num"]: r["forma"] for r in lookalike.consistent(fields).collect()}
+    assert got == {1: " " * 50 + "uno dos"}
 
 
 def test_representatives_follow_the_corpus(spark):
