@@ -133,6 +133,57 @@ def test_no_paraphrase_of_an_item_without_content_words(spark):
     assert leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, common)], "item_id long, text string")).count() == 0
 
 
+def planted(seed, copies):
+    """Items of 40 content words with two options, and documents with paraphrases of them: a word in seven exchanged, clauses
+    moved, options kept; among documents without any."""
+    rng = random.Random(seed)
+    words = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{i}x" for i in range(3000)]
+    small = "de la el en que y a con por".split()
+    clause = lambda n: " ".join(w for _ in range(n) for w in (rng.choice(words), rng.choice(small))[: rng.choice([1, 2])])
+    items, docs = [], []
+    for i in range(40):
+        clauses, options = [clause(9) for _ in range(4)], [clause(5) for _ in range(2)]
+        items.append((i, ", ".join(clauses) + "? a) " + options[0] + " b) " + options[1]))
+        for c in range(copies):
+            moved = clauses[:]
+            j = rng.randrange(3)
+            moved[j], moved[j + 1] = moved[j + 1], moved[j]
+            text = [rng.choice(words) if k % 7 == c % 7 else w for k, w in enumerate(" ".join(moved).split())]
+            docs.append((1000 + i * copies + c, clause(20) + ". " + " ".join(text) + " a) " + options[0] + " b) " + options[1] + ". " + clause(15)))
+    return items, docs + [(i, clause(60)) for i in range(300)]
+
+
+def test_recall_of_paraphrases(spark):
+    items, docs = planted(3, 5)
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items).collect()}
+    want = {(1000 + i * 5 + c, i) for i in range(40) for c in range(5)}
+    assert len(got & want) >= 0.9 * len(want) and got <= want
+    near = lambda probes: {(r["doc_id"], r["item_id"]) for r in leaks.search(docs, items, leaks.PARAPHRASED, probes=probes).collect()}
+    every, some = near(10**6), near(leaks.PROBES)
+    assert some <= every and len(some) >= 0.9 * len(every)
+
+
+def test_blocks_of_items_and_few_slots_give_the_same_runs(spark, monkeypatch):
+    items, docs = planted(5, 1)
+    docs += [(5000 + i, "Nota: " + " ".join(t.split()[3:20]) + ".") for i, t in items]
+    items.append((3, "otro texto de la misma pregunta con doce palabras seguidas y algunas otras más"))
+    docs.append((6000, items[-1][1].upper()))
+    items, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {tuple(r) for r in leaks.contained(docs, items).collect()}
+    assert want >= {(5000 + i, i) for i in range(40)} | {(6000, 3)}
+    monkeypatch.setattr(leaks, "BLOCK_WINDOWS", 200)
+    assert {tuple(r) for r in leaks.contained(docs, items).collect()} == want
+    monkeypatch.setattr(leaks, "SLOTS", 64)
+    assert {tuple(r) for r in leaks.contained(docs, items).collect()} == want
+
+
+def test_words_are_hashed_alike_in_both_places(spark):
+    texts = ["¿Qué Año?", "ÑANDÚ e\u0301l 3º 40,5", "ΣΑΣ Ĳ ǅ İstanbul", "", None, "x" * 500, "海は 静か"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(leaks.word_hashes(F.col("t"))).collect()
+    assert [r[0] for r in got] == [leaks._hashed(leaks.words(t)).tolist() for t in texts]
+
+
 def test_lcs():
     rng = np.random.default_rng(1)
     for _ in range(40):
