@@ -44,10 +44,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Needed, available and taken questions of every plan and category."""
+    """Needed, available and reachable questions of every plan and category."""
     return quota.report(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
 
 
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share wanted and the share drawn of every plan and category."""
+    return quota.shares(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
+
+
+def p5_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that each plan draws, counted in its sample: (plan_id, filas)."""
+    return p5_sample(spark, sf_dir).groupBy("plan_id").agg(F.count(F.lit(1)).alias("filas"))
+
+
 def p5_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples themselves: (plan_id, num, categoria)."""
     return quota.sample(table(spark, sf_dir, "preguntas"), table(spark, sf_dir, "cuotas"))
@@ -105,7 +115,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_shares, p5_sizes, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
 
 _CANON = r"""
 select num, regexp_replace(replace(lower(upper(coalesce(enunciado, ''))), 'ς', 'σ'), '[^\p{L}\p{N}]+', '', 'g') as e,
@@ -144,5 +154,10 @@ SQL = {
     "p7_found": _P7,
     "p9_found": f"select distinct d.doc_id, e.item_id from ({_RUNS('documents', 'doc_id')}) d join ({_RUNS('eval_items', 'item_id')}) e on d.run = e.run",
     "p5_found": _NEED + "select plan_id, categoria from informe where disponibles < necesarias",
-    "p5_report": _NEED + "select plan_id, categoria, necesarias, disponibles, least(disponibles, necesarias) as tomadas, greatest(necesarias - disponibles, 0) as faltan from informe",
+    "p5_sizes": _NEED
+    + """, hay_aqui as (select q.plan_id, q.categoria, any_value(q.tamano) as tamano, max(q.minimo) as minimo, max(q.proporcion) as parte, coalesce(any_value(i.disponibles), 0) as hay
+         from cuotas q join informe i on i.plan_id = q.plan_id and i.categoria = q.categoria group by q.plan_id, q.categoria)
+    select plan_id, cast(greatest(sum(least(minimo, hay)), least(max(tamano), sum(case when parte > 0 then hay else least(minimo, hay) end))) as bigint) as filas
+    from hay_aqui group by plan_id having filas > 0""",
+    "p5_report": _NEED + "select plan_id, categoria, necesarias, disponibles, least(disponibles, necesarias) as alcanzables, greatest(necesarias - disponibles, 0) as faltan from informe",
 }

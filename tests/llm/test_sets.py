@@ -268,9 +268,40 @@ def test_controlled_rounding_keeps_both_margins(rows):
     assert all(g <= h for gr, (_, hr) in zip(got, rows) for g, h in zip(gr, hr))
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 3])
-def test_samples_fill_every_quota(spark, monkeypatch, bucket_rows):
-    monkeypatch.setattr(quota, "BUCKET_ROWS", bucket_rows)
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.one_of(st.just(0.0), st.floats(1e-6, 1)), st.integers(0, 9), st.lists(st.integers(0, 20), min_size=3, max_size=3)), min_size=1, max_size=7), st.integers(0, 200))
+def test_sizes_are_shared_out_and_rounded(rows, size):
+    share, least, have = [r[0] for r in rows], [min(r[1], sum(r[2])) for r in rows], [r[2] for r in rows]
+    most = [sum(h) if p > 0 else lo for p, lo, h in zip(share, least, have)]
+    want = max(sum(least), min(size, sum(most)))
+    amounts = quota.share_out(want, share, least, most)
+    assert abs(sum(amounts) - want) < 1e-6 and all(lo - 1e-9 <= x <= hi + 1e-9 for x, lo, hi in zip(amounts, least, most))
+    free = [x / p for x, p, lo, hi in zip(amounts, share, least, most) if lo + 1e-6 < x < hi - 1e-6]
+    assert not free or max(free) - min(free) < 1e-6 * max(1, max(free))  # in proportion where no bound holds
+    table = [[x * n / sum(h) if sum(h) else 0.0 for n in h] for x, h in zip(amounts, have)]
+    got = quota.controlled_rounding(table)
+    assert sum(map(sum, got)) == want and all(abs(g - x) < 1 for gr, tr in zip(got, table) for g, x in zip(gr, tr))
+    assert all(abs(sum(g) - x) < 1 for g, x in zip(got, amounts)) and all(abs(sum(g[j] for g in got) - sum(t[j] for t in table)) < 1 for j in range(3))
+    assert all(lo <= sum(g) for g, lo in zip(got, least))
+
+
+def test_plans_of_a_size_are_drawn_by_shares(spark):
+    rows = [(i, "G" if i % 4 else None, 2020 + i % 3, str(i % 3 + 1), None) for i in range(600)] + [(7, "G", 2021, "2", None)] * 90
+    q = spark.createDataFrame(rows, "num long, community string, anio int, categoria string, categoria_nombre string")
+    cuotas = [(1, None, 120, 1, "Uno", 0.5, 60, 1), (1, None, 120, 2, "Dos", 0.5, 60, 1), (2, "G", 90, 1, "Uno", 0.9, 81, 1), (2, "G", 90, 3, "Tres", 0.1, 9, 30), (3, None, 10_000, 1, "Uno", 1.0, 10_000, 1), (4, None, 5, 1, "Uno", 0.5, 3, 20), (5, "X", 5, 1, "Uno", 1.0, 5, 1)]
+    plans = spark.createDataFrame(cuotas, "plan_id int, comunidad string, tamano int, categoria int, nombre string, proporcion double, n_objetivo int, minimo int")
+    got = quota.sample(q, plans).collect()
+    counts = {}
+    for r in got:
+        counts[r["plan_id"], r["categoria"]] = counts.get((r["plan_id"], r["categoria"]), 0) + 1
+    assert counts == {(1, 1): 60, (1, 2): 60, (2, 1): 60, (2, 3): 30, (3, 1): 200, (4, 1): 20}
+    assert {(r["plan_id"], r["categoria"]): r["tomadas"] for r in quota.shares(q, plans).collect() if r["tomadas"]} == counts
+    assert {tuple(r) for r in quota.unmet(q, plans).collect()} == {(3, 1), (5, 1)}
+
+
+@pytest.mark.parametrize("bits", [14, 1])
+def test_samples_fill_every_quota(spark, monkeypatch, bits):
+    monkeypatch.setattr(quota, "BUCKET_BITS", bits)
     rows = [(i, ["G", "V"][i % 2], 2020 + i % 3, [" 01", "uno", None, "2", "9"][i % 5], [None, "x", "UNO ", "dos", None][i % 5]) for i in range(400)]
     q = spark.createDataFrame(rows, "num long, community string, anio int, categoria string, categoria_nombre string")
     plans = spark.createDataFrame([(1, None, 1, "Uno", 50, 1), (1, None, 2, "Dos", 5, 100), (2, "G", 1, "Uno", 7, 1), (2, "G", 2, "Dos", 0, 3), (3, "Z", 1, "Uno", 2, 1)], "plan_id int, comunidad string, categoria int, nombre string, n_objetivo int, minimo int")
