@@ -7,6 +7,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -72,6 +74,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def at_least_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, shuffles start from n parts at least. They stay the engine's own, so it may still join small ones and split
+    skewed ones, which it leaves alone if a number of parts was asked for by ``repartition``. For plans that run inside."""
+    name = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    if n > int(old):
+        spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def _put(spark: SparkSession, data: bytes, name: str) -> str:
     """Write a file into the shared folder; returns its full address, with its scheme."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
