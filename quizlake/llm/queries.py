@@ -101,8 +101,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens per source."""
-    docs = table(spark, sf_dir, "documents")
-    return tokens.totals(docs, tokens.encode(docs), "source")
+    return tokens.totals(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")), "source")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +132,20 @@ select p.num_a, p.num_b from pairs p join base a on a.num = p.num_a join base b
 join canon x on x.num = p.num_a join canon y on y.num = p.num_b
 where 10 * comunes >= 7 * (len(a.ws) + len(b.ws) - comunes) and (x.e <> y.e or x.o <> y.o)
 """
+_P7_GROUPS = rf"""
+with recursive base as materialized (select num, list_sort(list_distinct(regexp_extract_all(lower(concat_ws(' ', enunciado, array_to_string(map_values(opciones), ' '))), '[\p{{L}}\p{{N}}]+'))) as ws from preguntas where num is not null),
+canon as materialized ({_CANON}),
+fila as materialized (select b.num, ws, e, o, min(b.num) over (partition by ws, e, o) as nodo, min(b.num) over (partition by e, o) as primero from base b join canon c on c.num = b.num),
+n as materialized (select * from fila where num = nodo),
+w as materialized (select num, unnest(ws) as word from n),
+comun as (select a.num as a, b.num as b, count(*) as k from w a join w b on a.word = b.word and a.num < b.num group by all),
+par as materialized (select p.a, p.b from comun p join n x on x.num = p.a join n y on y.num = p.b where 10 * k >= 7 * (len(x.ws) + len(y.ws) - k) and (x.e <> y.e or x.o <> y.o)),
+arco as materialized (select a, b from par union select b, a from par union select num, primero from n union select primero, num from n),
+alcance(a, b) as (select a, b from arco union select r.a, s.b from alcance r join arco s on s.a = r.b),
+grupo as (select a, min(b) as grupo from alcance group by a),
+enlace as (select a, count(*) as k from (select a, b from par union all select b, a from par) group by a)
+select f.num, least(g.grupo, f.nodo) as grupo, coalesce(k, 0) as enlaces from fila f join grupo g on g.a = f.nodo left join enlace l on l.a = f.nodo
+"""
 _RUNS = lambda t, key: f"select {key}, ws[i:i + 11] as run from (select {key}, ws, unnest(generate_series(1, len(ws) - 11)) as i from (select {key}, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') as ws from {t} where text is not null))"
 
 _NEED = """
@@ -152,6 +165,7 @@ SQL = {
     "p2_found": f"with c as ({_CANON}), w as (select num, min(num) over (partition by e, o) as primero from c) select primero as num_a, num as num_b from w where num <> primero",
     "p2_copies": f"with c as ({_CANON}) select min(num) as num, count(*) as copias from c group by e, o",
     "p7_found": _P7,
+    "p7_groups": _P7_GROUPS,
     "p9_found": f"select distinct d.doc_id, e.item_id from ({_RUNS('documents', 'doc_id')}) d join ({_RUNS('eval_items', 'item_id')}) e on d.run = e.run",
     "p5_found": _NEED + "select plan_id, categoria from informe where disponibles < necesarias",
     "p5_sizes": _NEED

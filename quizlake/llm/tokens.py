@@ -114,8 +114,8 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(id_col, ids array<int>) of every row, without special tokens; their strings in a text are ordinary text.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, lexicon_words: int = LEXICON_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, the columns of ``keep``, ids array<int>) of every row, without special tokens; their strings in a text are ordinary text.
 
     Null and empty texts have the empty list. Rows that repeat are encoded each time. Texts of any length are encoded whole.
     """
@@ -137,13 +137,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), _ENCODERS[key].encode(part.column(1).to_pylist())], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], _ENCODERS[key].encode(part.column(1).to_pylist())], [id_col, *keep, "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in (id_col, *keep)) + "ids array<int>"
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
-def totals(docs: DataFrame, tokens: DataFrame, by: str, id_col: str = "doc_id") -> DataFrame:
-    """(by, documentos, tokens): sizes of the parts of a corpus, in tokens."""
-    counts = tokens.select(id_col, F.size("ids").cast("bigint").alias("_n"))
-    return docs.select(id_col, by).join(counts, id_col).groupBy(by).agg(F.count(F.lit(1)).alias("documentos"), F.sum("_n").alias("tokens"))
+def totals(docs: DataFrame, by: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(by, documentos, tokens): sizes of the parts of a corpus, in tokens; rows with null or repeated ids count like all others."""
+    sizes = encode(docs, id_col, text_col, keep=(by,)).select(by, F.size("ids").cast("bigint").alias("_n"))
+    return sizes.groupBy(by).agg(F.count(F.lit(1)).alias("documentos"), F.sum("_n").alias("tokens"))

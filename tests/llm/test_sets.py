@@ -44,6 +44,34 @@ def test_similar_sets_misses_no_pair(spark, kind, threshold):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [0, 5, 60])
+def test_more_common_words_than_are_held(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_COMMON", most)
+    sets = corpus("mixed", 11)
+    ids = {w: i * 2654435761 % 2**63 - 2**62 for i, w in enumerate(sorted(set().union(*sets)), 1)}
+    rows = [(i, sorted(ids[w] for w in s)) for i, s in enumerate(sets)]
+    got = {(r["a"], r["b"]) for r in neardup.similar_sets(stage(spark.createDataFrame(rows, "id long, w array<bigint>"), "sets"), 0.7).collect()}
+    assert got == {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if b and a and len(a & b) >= 0.7 * len(a | b) - 1e-9}
+
+
+def test_a_record_of_very_many_words(spark):
+    base = np.arange(100_000, dtype=np.int64) * 7919
+    rows = [(i, sorted(x)) for i, x in enumerate((base.tolist(), base[:-9000].tolist(), base[50_000:].tolist(), [1, 2, 3]))]
+    rows += [(10 + i, base[i * 900 : i * 900 + 1000].tolist()) for i in range(30)] * 1
+    got = {(r["a"], r["b"]) for r in neardup.similar_sets(stage(spark.createDataFrame(rows, "id long, w array<bigint>"), "sets"), 0.8).collect()}
+    assert got == {(0, 1)}
+
+
+def test_allocation_in_blocks_is_enough(monkeypatch):
+    rng = np.random.default_rng(4)
+    p0 = rng.random((6, 40))
+    p1, need = p0 + rng.random((6, 40)), rng.integers(1, 80, 6)
+    whole = neardup._allocate(need, p0, p1)
+    monkeypatch.setattr(neardup, "_BLOCK", 7)
+    got = neardup._allocate(need, p0, p1)
+    assert ((got + 1).sum(1) >= need).all() and ((whole + 1).sum(1) >= need).all() and got.min() >= -1 and got.max() <= 1
+
+
 def test_allocation_is_enough_and_cheapest():
     rng = np.random.default_rng(3)
     from itertools import product
@@ -243,6 +271,13 @@ def test_transducer_is_minimal():
         assert len(Lexicon(f.name).finals) < 25  # the endings are shared
 
 
+def test_totals_count_every_row(spark, library):
+    rows = [(1, "hola mundo", "x"), (1, "hola mundo", "x"), (None, "una frase", "y"), (2, None, None), (3, "", "y")]
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = {r["source"]: (r["documentos"], r["tokens"]) for r in tokens.totals(spark.createDataFrame(rows, "doc_id long, text string, source string"), "source").collect()}
+    assert got == {"x": (2, 2 * n("hola mundo")), "y": (2, n("una frase")), None: (1, 0)}
+
+
 def test_ids_with_and_without_lexicon(spark, library):
     texts = ["El patrón gobernará a 350º… ¡ya!", "", None, " ", "<|endoftext|> x", "a" * 500, "  dos\n\n\tespacios ", "海は静か", "👍🏽"] * 3
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
