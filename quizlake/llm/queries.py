@@ -28,6 +28,12 @@ def p2_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.distinct_questions(table(spark, sf_dir, "preguntas"))
 
 
+def p2_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of 128 bits that stand for more than one text; normally none."""
+    got = canonical.collisions(canonical.question_keys(table(spark, sf_dir, "preguntas")))
+    return got.select(F.lower(F.hex("md5")).alias("md5"), "textos")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields decoded with a wrong encoding: (num, campo)."""
     return mojibake.garbled(question_fields(_questions(spark, sf_dir))).select("num", "campo").distinct()
@@ -114,7 +120,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p3_found, p3_restored, p5_found, p5_report, p5_shares, p5_sizes, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_copies, p2_collisions, p3_found, p3_restored, p5_found, p5_report, p5_shares, p5_sizes, p5_sample, p6_found, p6_consistent, p7_found, p7_groups, p8_ids, p8_totals, p9_found, p9_leaks, p10_found, p10_sentences)}
 
 _CANON = r"""
 select num, regexp_replace(replace(lower(upper(coalesce(enunciado, ''))), 'ς', 'σ'), '[^\p{L}\p{N}]+', '', 'g') as e,
@@ -164,6 +170,7 @@ informe as (
 SQL = {
     "p2_found": f"with c as ({_CANON}), w as (select num, min(num) over (partition by e, o) as primero from c) select primero as num_a, num as num_b from w where num <> primero",
     "p2_copies": f"with c as ({_CANON}) select min(num) as num, count(*) as copias from c group by e, o",
+    "p2_collisions": f"with c as ({_CANON}) select md5(array_to_string(list_concat([e], o), chr(31))) as md5, count(distinct (e, o)) as textos from c group by 1 having count(distinct (e, o)) > 1",
     "p7_found": _P7,
     "p7_groups": _P7_GROUPS,
     "p9_found": f"select distinct d.doc_id, e.item_id from ({_RUNS('documents', 'doc_id')}) d join ({_RUNS('eval_items', 'item_id')}) e on d.run = e.run",

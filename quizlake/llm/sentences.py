@@ -8,6 +8,8 @@ A text is first cut into blocks (paragraphs and list items), so no expression lo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,20 +86,42 @@ def _pieces(rows: DataFrame, text: str, start: str, piece: str) -> DataFrame:
 
 
 def _flat(s: Column) -> Column:
-    return F.translate(s, "\n", BREAK)
+    return F.replace(s, F.lit("\n"), F.lit(BREAK))
 
 
 def _hidden(s: Column) -> Column:
-    return F.translate(s, _ENDS, INNER * len(_ENDS))
+    return _swap(s, f"[{_ENDS}]", INNER)
 
 
 def _any(words: tuple | list) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+def _by_first(words: tuple | list) -> str:
+    """``_any``, sorted by first letters, so that a word is held against those of its own letter only."""
+    firsts: dict[str, list[str]] = {}
+    for w in words:
+        firsts.setdefault(w[0], []).append(w[1:])
+    return _any([f + _any(rest) for f, rest in firsts.items()])
+
+
+def _has(c: Column, signs: str) -> Column:
+    """Whether any of a few signs occurs: a search of bytes each, much cheaper than a pattern."""
+    test = c.contains(signs[0])
+    for sign in signs[1:]:
+        test = test | c.contains(sign)
+    return test
+
+
+def _where(test, change):  # noqa: ANN001, ANN202
+    """A step that is taken only where the test holds: tests are cheap, and most rules concern few texts."""
+    return lambda c: F.when(test(c), change(c)).otherwise(c)
+
+
 #: Cuts after blank lines and before list items on a new line, but not within quotations.
 BLOCKS = [
-    lambda c: _swap(F.translate(c, MASK + CUT + BREAK + INNER, "\ufffd" * 4), "\r(?!\n)|\x85|\u2028|\u2029", "\n"),
+    _where(lambda c: _has(c, MASK + CUT + BREAK + INNER), lambda c: _swap(c, f"[{MASK}-{INNER}]", "\ufffd")),
+    _where(lambda c: _has(c, "\r\x85\u2028\u2029"), lambda c: _swap(c, "[\r\x85\u2028\u2029](?<!\r(?=\n))", "\n")),
     *(lambda c, p=p: _inside(c, *p, _flat, lambda s: ~s.rlike(r"\n[ \t\r\x{A0}]*\n")) for p in PAIRS[:2]),
     lambda c: _swap(c, rf"(\n{_SPACE}*\n{_SPACE}*)(?=\S)", "$1" + CUT),
     lambda c: _swap(c, rf"(\n[ \t\x{{A0}}]*)(?={_ITEM})", "$1" + CUT),
@@ -107,7 +131,7 @@ BLOCKS = [
 #: as it is and so make one pattern; those of _AFTER also look at what these have masked.
 _NO_ENDS = [
     r"\.(?<=[\p{L}\p{M}\p{N}]\.)(?=[\p{L}\p{N}])",  # decimals, times, file names, hosts, a.m, U.S
-    rf"(?iu)\.(?<=(?<![\p{{L}}\p{{N}}]){_any(ABBREVIATIONS)}\.)",
+    rf"(?iu)\.(?<=(?<![\p{{L}}\p{{N}}]){_by_first(ABBREVIATIONS)}\.)",
     r"(?iu)\.(?<=(?<![\p{L}\p{N}])p\.)(?=\s+(?:ej|ex)\W)",
     r"(?i)\.(?<=(?<![\p{L}\p{N}])[dz]\.)(?=\s*[hb]\.)",
     r"\.(?<=(?<![\p{L}\p{N}])EE\.)(?=\s*UU\.)",
@@ -118,15 +142,16 @@ _NO_ENDS = [
     rf"(?iu)\.(?<=\d\.)(?=\s+{_any(MONTHS)}(?!\p{{L}}))",
 ]
 _AFTER = [
-    rf"(?i)\.(?<=(?<![\p{{L}}\p{{N}}])[dz]{MASK}\s{{0,2}}[hb]\.)",
+    rf"(?i)\.(?<=[hb]\.)(?<=(?<![\p{{L}}\p{{N}}])[dz]{MASK}\s{{0,2}}[hb]\.)",
     rf"\.(?<={MASK}\p{{L}}\.)(?=\s*[,;:)]|\s+[^\p{{Lu}}\s«“\"¿¡(])",
-    rf"\.(?<=(?:^\s{{0,4}}|[.!?…»”\"{MASK}]\s{{1,4}})\p{{Ll}}\.)(?=\s+\p{{Lu}})",
+    rf"\.(?<!\p{{L}}\p{{L}}\.)(?<=(?:^\s{{0,4}}|[.!?…»”\"{MASK}]\s{{1,4}})\p{{Ll}}\.)(?=\s+\p{{Lu}})",
 ]
 
 
 def _one(patterns: list[str]) -> str:
-    """One pattern for all: each keeps its own flags."""
-    return "|".join(f"(?:{p})" for p in patterns)
+    """One pattern for all, with the period that each starts at in front; each keeps its own flags."""
+    parts = [re.fullmatch(r"(?:\(\?(\w+)\))?\\\.(.*)", p).groups() for p in patterns]
+    return r"\." + _any([f"(?{flags or ''}:{rest})" for flags, rest in parts])
 
 
 _CAPITALS = r"^[^\p{Ll}]*\p{Lu}{3}[^\p{Ll}]*$"
@@ -146,11 +171,6 @@ MASKS = [
 
 _TAIL = rf"[{_CLOSERS}]*+(?:\s[»])?+(?:{_SPACE}*+{_EMOJI}++)*+"
 _QUOTED = rf"{INNER}\s?[»”’\"」』“]++(?:{_SPACE}*+{_EMOJI}++)*+"
-def _where(test, change):  # noqa: ANN001, ANN202
-    """A step that is taken only where the test holds: tests are cheap, and most rules concern few texts."""
-    return lambda c: F.when(test(c), change(c)).otherwise(c)
-
-
 #: Columns made once for a block: whether it is in capitals, and whether it has signs of the scripts with rules of their own.
 _CAPS, _SCRIPTS = "_caps", "_scripts"
 _OTHER_SCRIPTS = r"[।॥؟۔。！？｡」』\p{IsThai}]"
@@ -159,7 +179,7 @@ _inner = lambda c: c.contains(INNER)
 _dashes = lambda c: c.contains("—") | c.contains("–")
 #: Cuts after every sentence of a masked block.
 CUTS = [
-    lambda c: _swap(c, rf"((?:[!?.…]|;(?<=\p{{IsGreek}};))+{_TAIL}{_SPACE}++)(?=\S)", "$1" + CUT),
+    lambda c: _swap(c, rf"(?=[!?.…;])((?:[!?.…]|;(?<=\p{{IsGreek}};))+{_TAIL}{_SPACE}++)(?=\S)", "$1" + CUT),
     # Not after dots of suspense before a small letter, nor before what a speaker's dash adds.
     _where(lambda c: c.contains("..") | c.contains("…"), lambda c: _swap(c, rf"{CUT}(?<=(?:\.\.|…)[{_CLOSERS}]{{0,3}}{_SPACE}{{1,4}}{CUT})(?=\p{{Ll}}|(?iu:{_any(GOING_ON)})\s)", "")),
     _where(_dashes, lambda c: _swap(c, rf"{CUT}(?=[—–]\s?\p{{Ll}})", "")),

@@ -182,6 +182,14 @@ def test_sentences_of_other_scripts_and_layouts(spark):
     assert [[r["oracion"] for r in rows if r["doc_id"] == i] for i in range(len(table))] == [w for _, w in table]
 
 
+@pytest.mark.parametrize("words", [3, 60, 2000])
+def test_quotations_of_any_length_cut_alike(spark, words):
+    inside = " ".join(["una voz"] * words)
+    texts = [f'Dijo: "{inside}." luego siguió.', f'Dijo: "{inside}." ahora vale. Fin.', f'"{inside.upper()}." VALE AHORA. FIN.']
+    rows = sentences.sentences(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in rows} == {0: 1, 1: 3, 2: 2}
+
+
 def test_sentence_places_in_a_very_long_text(spark):
     text = "🙂 Una frase corta. " * 20_000
     rows = sentences.sentences(spark.createDataFrame([(1, text)], "doc_id long, text string"))
