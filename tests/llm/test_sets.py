@@ -2,6 +2,7 @@
 
 import random
 import tempfile
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -54,6 +55,26 @@ def test_more_common_words_than_are_held(spark, monkeypatch, most):
     assert got == {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if b and a and len(a & b) >= 0.7 * len(a | b) - 1e-9}
 
 
+def test_a_plan_takes_little_of_the_driver_whatever_the_words(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE_SETS", 0)
+    sets = stage(spark.range(6000).selectExpr("id", "array_sort(transform(sequence(1, 50), j -> xxhash64(id, j))) as w"), "sets")
+    tracemalloc.start()
+    try:
+        plan, _ = neardup.make_plan(sets, 0.7)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(plan.common) == 300_000 and peak < 150e6  # a cell for every sampled set and word would take 1,200 MB
+
+
+def test_the_commonest_words_are_held(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_COMMON", 7)
+    counts = [30] * 3 + [29] * 4 + [28] * 5
+    rows = [(i, [w for w, n in enumerate(counts) if i < n]) for i in range(40)]
+    plan, known = neardup.make_plan(stage(spark.createDataFrame(rows, "id long, w array<bigint>"), "sets"), 0.7)
+    assert plan.common.tolist() == list(range(7)) and not any(x for r in known.collect() for x in r["raras"])
+
+
 def test_a_record_of_very_many_words(spark):
     base = np.arange(100_000, dtype=np.int64) * 7919
     rows = [(i, sorted(x)) for i, x in enumerate((base.tolist(), base[:-9000].tolist(), base[50_000:].tolist(), [1, 2, 3]))]
