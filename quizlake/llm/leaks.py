@@ -3,9 +3,10 @@
 Words become 64-bit hashes, and those hashes fall into a fixed number of slots, so no table grows with a vocabulary.
 TF-IDF passages of the whole corpus over the items' slots are reduced by a randomised SVD whose products are summed in the
 cluster. Windows of documents are compared with the items' windows by their cosine in that space, but only within
-buckets: a code of the (fixed-point) latent vector, equal for windows of cosine 1 whatever the rank, so no shared
-run is lost; and, for paraphrases, the nearest of a number of cells of the items' windows. The pairs found are then
-checked on the words themselves: the run that both share, the longest common subsequence, and the options that occur.
+buckets: a code of the (fixed-point) latent vector, equal for equal windows whatever the rank, so no shared run is
+lost; and the nearest of a number of cells of the items' windows. Shared runs and paraphrases differ only in the
+least cosine. The pairs found are then checked on the words themselves: the run that both share, the longest common
+subsequence, and the options that occur.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -320,8 +322,8 @@ def _shared(doc: np.ndarray, at: int, item: np.ndarray, start: int) -> int:
 def search(docs: DataFrame, items: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, probes: int = PROBES) -> DataFrame:
     """(doc_id, item_id, seguidas, comunes, contenido, opciones, opciones_halladas) of all pairs with a window of cosine >= ``least``.
 
-    Windows meet in buckets: those of equal latent code, and those of the ``probes`` nearest cells (with 0 the code alone, which
-    is all that shared runs need; with as many as there are cells nothing is left out). ``seguidas``: longest run of words that
+    Windows meet in buckets: those of equal latent code, and those of the ``probes`` nearest cells (with as many as there are
+    cells nothing is left out); the cosine decides in either. ``seguidas``: longest run of words that
     both share around such windows. ``comunes``: of the item's content words (``contenido``), those that the passage
     around the windows has in order. ``opciones_halladas``: of the item's ``opciones`` with content words, those that have
     four fifths of them in order there. Null and empty texts give no row; repeated documents repeat theirs.
@@ -349,8 +351,8 @@ def search(docs: DataFrame, items: DataFrame, least: float, id_col: str = "doc_i
 _FILES: dict[str, dict[str, np.ndarray]] = {}
 
 
-def _by_code(x: dict, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window of the batch, window of the items) of all pairs of equal code."""
+def _by_code(x: dict, place: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window of the batch, window of the items) of the pairs of equal code and cosine >= ``least``; equal null vectors have cosine 1."""
     known = np.concatenate([[0], np.cumsum(place >= 0)])
     sums = np.concatenate([[0], np.cumsum(np.where(place >= 0, x["code"][np.maximum(place, 0)], 0))])
     whole = np.flatnonzero(known[at + WINDOW] - known[at] == WINDOW)
@@ -358,7 +360,12 @@ def _by_code(x: dict, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np
     low, high = np.searchsorted(x["codes"], codes), np.searchsorted(x["codes"], codes, side="right")
     n = high - low
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(whole, n), x["by_code"][np.repeat(low, n) + inside]
+    window, other = np.repeat(whole, n), x["by_code"][np.repeat(low, n) + inside]
+    for i in range(0, len(window), _ROWS):
+        w, j = window[i : i + _ROWS], other[i : i + _ROWS]
+        vectors = x["space"][place[at[w, None] + np.arange(WINDOW)]].sum(1)
+        near = np.einsum("ij,ij->i", vectors, x["vectors"][j]) >= least * np.linalg.norm(vectors, axis=1) - 1e-9
+        yield w[near], j[near]
 
 
 def _near(x: dict, place: np.ndarray, at: np.ndarray, least: float, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -418,7 +425,7 @@ def _searcher(name: str, least: float, probes: int):  # noqa: ANN202
             at = ends[doc] + STRIDE * (np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts))
             place = _place(flat, at_of)
             hits: dict[tuple[int, int], set[tuple[int, int]]] = {}
-            for w, j in [_by_code(x, place, at), *(_near(x, place, at, least, probes) if probes else ())]:
+            for w, j in chain(_by_code(x, place, at, least), _near(x, place, at, least, probes)):
                 for d, a, i, s in zip(doc[w].tolist(), at[w].tolist(), x["owners"][j].tolist(), x["starts"][j].tolist()):
                     hits.setdefault((d, i), set()).add((a, s))
             table = []
@@ -439,9 +446,10 @@ def _searcher(name: str, least: float, probes: int):  # noqa: ANN202
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id): documents with a run of RUN successive words of an item; distinct.
 
-    A run holds a whole window that starts at a multiple of STRIDE, and equal windows have equal latent codes.
+    A run holds a whole window that starts at a multiple of STRIDE, and equal windows have equal latent codes and cosine 1;
+    so the search has all runs, and the words around its windows decide.
     """
-    return search(docs, items, LITERAL, id_col, text_col, probes=0).where(F.col("seguidas") >= RUN).select("doc_id", "item_id").distinct()
+    return search(docs, items, LITERAL, id_col, text_col).where(F.col("seguidas") >= RUN).select("doc_id", "item_id").distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
