@@ -284,11 +284,15 @@ def build_index(block: dict[str, np.ndarray], place: np.ndarray, idf: np.ndarray
     centres = _cells(vectors) if len(vectors) else vectors
     cell = np.concatenate([(vectors[i : i + _ROWS] @ centres.T).argmax(1) for i in range(0, len(vectors), _ROWS)]) if len(vectors) else np.zeros(0, np.int64)
     order = np.argsort(cell, kind="stable")
+    closeness = np.ones(len(centres), np.float32)
+    for i in range(0, len(vectors), _ROWS):
+        mine = cell[i : i + _ROWS]
+        np.minimum.at(closeness, mine, np.einsum("ij,ij->i", vectors[i : i + _ROWS], centres[mine]))
     codes = code[at[spans[order]]].sum(1) if len(spans) else np.zeros(0, np.int64)
     by_code = np.argsort(codes, kind="stable")
     return _pack(block | {
         "place": place, "space": space, "code": code, "content": idf >= 1 - np.log(COMMON), "other": np.array([other]),
-        "starts": block["starts"][order], "owners": block["owners"][order], "vectors": vectors[order], "centres": centres,
+        "starts": block["starts"][order], "owners": block["owners"][order], "vectors": vectors[order], "centres": centres, "radii": np.arccos(np.clip(closeness, -1, 1)), "lengths": np.linalg.norm(space, axis=1),
         "cell_ends": np.searchsorted(cell[order], np.arange(len(centres) + 1)), "codes": codes[by_code], "by_code": by_code,
     })
 
@@ -371,15 +375,18 @@ def _by_code(x: dict, place: np.ndarray, at: np.ndarray, least: float) -> Iterat
 def _near(x: dict, place: np.ndarray, at: np.ndarray, least: float, probes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(window of the batch, window of the items) of the pairs of cosine >= ``least`` in the ``probes`` nearest cells."""
     other = float(x["other"][0])
+    reach = np.cos(np.minimum(np.pi, x["radii"] + np.arccos(min(1.0, least)) + 1e-3))
     for low in range(0, len(at), _ROWS):
         ids = place[at[low : low + _ROWS, None] + np.arange(WINDOW)]
         strange = (ids < 0).sum(1)
-        some = np.flatnonzero(strange < WINDOW)
+        longest = np.where(ids < 0, 0, x["lengths"][np.maximum(ids, 0)]).sum(1)  # no sum of the vectors is longer
+        some = np.flatnonzero(longest * (1 + 1e-5) >= least * np.sqrt(longest * longest + strange * other * other))
+        some = some[strange[some] < WINDOW]
         vectors = np.where(ids[some][..., None] < 0, np.float32(0), x["space"][np.maximum(ids[some], 0)]).sum(1)
         energy = np.einsum("ij,ij->i", vectors, vectors)
         norm = np.sqrt(energy + strange[some] * other * other) + 1e-12
         good = np.flatnonzero(np.sqrt(energy) >= least * norm)  # no cosine can be larger than this share
-        vectors = vectors[good] / norm[good, None]
+        vectors, share = vectors[good] / norm[good, None], np.sqrt(energy[good]) / norm[good]
         good = some[good] + low
         if not len(good):
             continue
@@ -388,6 +395,8 @@ def _near(x: dict, place: np.ndarray, at: np.ndarray, least: float, probes: int)
         chosen = np.argpartition(-likeness, k - 1, axis=1)[:, :k] if k < likeness.shape[1] else np.tile(np.arange(k), (len(good), 1))
         order = np.argsort(chosen.ravel(), kind="stable")
         row, cell = order // k, chosen.ravel()[order]
+        within = likeness[row, cell] >= reach[cell] * share[row] - 1e-4  # no window of the other cells is near enough
+        row, cell = row[within], cell[within]
         bounds = np.searchsorted(cell, np.arange(likeness.shape[1] + 1))
         for c in np.unique(cell).tolist():
             mine = row[bounds[c] : bounds[c + 1]]
